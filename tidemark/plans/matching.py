@@ -6,34 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import decide, metrics
+from tidemark.plans.core import PAIRS, pairs, query
 from tidemark.sources.tables import table
 
 
-def pairs(spark: SparkSession, root: str) -> DataFrame:
-    """(s1_id, cand_id, p, label): distinct order-part pairs with a probability in (0, 1)."""
-    return table(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("s1_id"), F.col("l_partkey").alias("cand_id")).agg(
-        (F.max("l_quantity") / 51).alias("p"), F.max(F.col("l_returnflag") == "R").alias("label")
-    )
-
-
-PAIRS_SQL = "SELECT l_orderkey AS s1_id, l_partkey AS cand_id, max(l_quantity) / 51 AS p, bool_or(l_returnflag = 'R') AS label FROM lineitem GROUP BY 1, 2"
-
-
-def exclusive_best_match(spark: SparkSession, root: str) -> DataFrame:
-    """Soft exclusivity, a threshold, F0.5 per order over all orders, averaged by priority."""
-    soft = decide.soft_exclusive(pairs(spark, root))
-    predicted = soft.where(F.round("p_soft", 9) >= 0.05)
-    orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("s1_id"), "o_orderpriority")
-    scored = metrics.per_anchor(orders, predicted, soft.where("label"))
-    return scored.groupBy("o_orderpriority").agg(
-        F.count("*").alias("n_orders"), F.sum("n_pred").alias("n_pred"), F.round(F.avg("f"), 6).alias("macro_f")
-    )
-
-
-QUERIES = {"exclusive_best_match": exclusive_best_match}
-ORACLES = {
-    "exclusive_best_match": f"""
-WITH pairs AS ({PAIRS_SQL}),
+@query(f"""
+WITH {PAIRS},
 odds AS (SELECT *, least(p, 0.999::DOUBLE) / (1 - least(p, 0.999::DOUBLE)) AS o FROM pairs),
 soft AS (SELECT *, o / (1 + sum(o) OVER (PARTITION BY cand_id)) AS q FROM odds),
 n AS (SELECT s1_id, count(*) FILTER (WHERE label) AS n_true, count(*) FILTER (WHERE round(q, 9) >= 0.05) AS n_pred,
@@ -43,5 +21,13 @@ f AS (SELECT o_orderpriority, coalesce(n_pred, 0) AS n_pred,
     ELSE 1.25::DOUBLE * coalesce(tp, 0) / (coalesce(n_pred, 0) + 0.25::DOUBLE * coalesce(n_true, 0)) END AS f
   FROM orders LEFT JOIN n ON o_orderkey = s1_id)
 SELECT o_orderpriority, count(*) AS n_orders, sum(n_pred)::BIGINT AS n_pred, round(avg(f), 6) AS macro_f FROM f GROUP BY 1
-"""
-}
+""")
+def exclusive_best_match(spark: SparkSession, root: str) -> DataFrame:
+    """Soft exclusivity, a threshold, F0.5 per order over all orders, averaged by priority."""
+    soft = decide.soft_exclusive(pairs(spark, root))
+    predicted = soft.where(F.round("p_soft", 9) >= 0.05)
+    orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("s1_id"), "o_orderpriority")
+    scored = metrics.per_anchor(orders, predicted, soft.where("label"))
+    return scored.groupBy("o_orderpriority").agg(
+        F.count("*").alias("n_orders"), F.sum("n_pred").alias("n_pred"), F.round(F.avg("f"), 6).alias("macro_f")
+    )

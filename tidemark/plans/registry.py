@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import matching
+from tidemark.plans import matching, relational, windowed  # noqa: F401  each registers its queries
+from tidemark.plans.core import ORACLES, QUERIES
 
-QUERIES = {**matching.QUERIES}
-ORACLES = {**matching.ORACLES}
+__all__ = ["ORACLES", "QUERIES"]
