@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, linededup, packing, simhash, substring
-from tidemark.llm.common import Scratch, read
+from tidemark.llm.common import Scratch, pick, read, with_key
 
 
 def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,10 +31,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    groups = simhash.near_duplicates(docs, k=5, radius=4)
-    others = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, Jaccard index 0.8) the first document."""
+    scratch = Scratch(spark, "neardedup")
+    keyed = with_key(docs, scratch)
+    others = scratch.save(simhash.near_copies(docs, k=5, least=0.8, scratch=scratch).where("_k <> group").select("_k").distinct(), "others")
+    _, kept = pick(keyed, others)
+    return (keyed.join(others, "_k", "left_anti") if kept is None else kept).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,12 +138,19 @@ def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, spec)
 
 
-def hex64(values) -> list[str]:
-    return [f"{int(v) & 0xFFFFFFFFFFFFFFFF:016x}" for v in values]
+#: Document keys that may be broadcast to pick documents out of a scan; with more, the documents are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
-def executors_slots(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+def pick(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(documents whose _k is in ids, the others): by broadcast if the ids are few, checked by count.
+
+    With more ids the first holds all documents and the second is None: a join by _k has to tell them apart.
+    """
+    if ids.count() <= BROADCAST_KEYS:
+        small = F.broadcast(ids.select("_k"))
+        return docs.join(small, "_k", "left_semi"), docs.join(small, "_k", "left_anti")
+    return docs, None
 
 
 def env_single_thread() -> None:

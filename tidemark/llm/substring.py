@@ -32,13 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Scratch, arrow_schema, map_texts, slices, with_key
+from tidemark.llm.common import Scratch, arrow_schema, map_texts, pick, slices, with_key
 
 WINDOW = 20
 GRAM = 6
 FANOUT = 4
-#: Document keys that may be broadcast to pick documents out of a scan; with more, the documents are shuffled.
-BROADCAST_KEYS = 1_000_000
 _TOKENS = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -187,14 +185,6 @@ class FingerprintIndex:
         self.levels = [[]]
 
 
-def _pick(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(documents whose _k is in ids, the others or None if the first has all): by broadcast if the ids are few, checked by count."""
-    if ids.count() <= BROADCAST_KEYS:
-        small = F.broadcast(ids.select("_k"))
-        return docs.join(small, "_k", "left_semi"), docs.join(small, "_k", "left_anti")
-    return docs, None
-
-
 def later_windows(docs: DataFrame, hits: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_k, spans): for each document the word ranges covered by windows that also start earlier."""
     schema = "h1 long, h2 long, _k long, start int, stop int"
@@ -236,7 +226,7 @@ def later_windows(docs: DataFrame, hits: DataFrame, scratch: Scratch, window: in
                 )
 
     ids = scratch.save(hits, "hits")
-    chosen, _ = _pick(docs, ids, scratch)
+    chosen, _ = pick(docs, ids)
     found = scratch.save(chosen.select("_k", "text").join(ids, "_k").select("_k", "text", "anchors").mapInArrow(verify, schema), "windows")
     scratch.drop(ids)
     earliest = Window.partitionBy("h1", "h2").orderBy("_k", "start")
@@ -307,7 +297,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
         res = {c: cols[c] for c in others} | {"n_words": n, "n_removed": gone}
         return res | ({"kept_sha256": out} if digest else {"text": out})
 
-    touched, rest = _pick(keyed, changed, scratch)
+    touched, rest = pick(keyed, changed)
     touched = touched.join(changed, "_k", "left").select(*others, "text", F.col("spans").alias("_spans"), F.col("whole").alias("_whole"))
     if rest is not None:
         none = F.lit(None)
