@@ -95,7 +95,7 @@ BASE = (
 )
 RULES = (
     Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
-    Rule("duplicate_lines", lambda m: 100 * m.n_dup_lines > 30 * len(m.lines)),
+    Rule("duplicate_lines", lambda m: 100 * m.n_dup_lines > 50 * len(m.lines)),
     Rule("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 20 * m.n_words),
     Rule("digits", lambda m: 100 * m.n_digits > 30 * m.word_chars),
     Rule("ellipsis_lines", lambda m: 100 * m.n_ellipsis_lines > 30 * len(m.lines)),

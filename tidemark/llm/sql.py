@@ -68,7 +68,7 @@ WITH told AS (
   FROM told t LEFT JOIN repeats r ON t.doc_id = r.doc_id
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words
     OR word_chars > 20 * n_words OR 100 * n_digits > 30 * word_chars OR 100 * n_ellipsis > 30 * n_lines) AS kept
 FROM b
 """
