@@ -128,3 +128,26 @@ def test_compare_words():
 def test_levenshtein_cutoff():
     assert PF.levenshtein("kitten", "sitting", 5) == 3 and PF.levenshtein("kitten", "sitting", 2) == 3
     assert re.match("a", "abc")
+
+
+def test_address_tokens(spark):
+    raw = ["7th floor, 12b main 3rd street, area one, no 007", "", "flat"]
+    areas = F.array(F.lit("area one"))
+    t = X.address_tokens(X.address_components(F.lower("t")), areas)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, t string").select("i", t.alias("p")).orderBy("i")
+    got = [tuple(r) for r in df.select(X.tokens_of_kind(F.col("p"), "w"), X.tokens_of_kind(F.col("p"), "w", "a"), X.tokens_of_kind(F.col("p"), "n")).collect()]
+    assert got[0] == (["3o", "main", "street"], ["3o", "area", "main", "one", "street"], ["12b", "7"])
+    assert got[1] == ([], [], []) and got[2] == ([], [], [])
+
+
+def test_name_tokens_and_content(spark):
+    assert values(spark, [("b a india a", "India")], X.name_tokens(F.col("t"), F.col("u")), "u") == [["a", "a", "b", "ctry"]]
+    assert values(spark, ["the acme praivet x ltd"], X.content_words(F.split("t", " "), sounds=True)) == [["acme"]]
+
+
+def test_compare_addresses():
+    c = PF.compare_addresses
+    assert c(["main", "st"], ["1"], ["main", "street"], ["1"]) == (0, 0, 0, 0, 0)
+    assert c(["main"], ["1"], ["main"], ["2"])[0] == 1
+    assert c(["oakwood"], [], ["oakwod"], [])[0] == 2 and c(["oak"], [], ["elm"], [])[0] == 7
+    assert c(["a1", "oak"], [], ["oak"], [])[0] == 5 and c(None, None, ["x"], [])[:2] == (9, 7) and c(["x"], [], None, None)[:2] == (8, 7)

@@ -281,3 +281,64 @@ def jaccard(a: Column, b: Column, empty: float) -> Column:
     """Jaccard index of two arrays; ``empty`` for two empty ones."""
     n = F.size(F.array_union(a, b))
     return F.when(n == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / n)
+
+
+def _one_of(word: Column, values: tuple[str, ...]) -> Column:
+    return F.array_contains(F.array(*[F.lit(v) for v in values]), word)
+
+
+def name_tokens(romanized: Column, country: Column) -> Column:
+    """Sorted words of a romanised name with repeats; the country's own name becomes ``ctry``."""
+    return F.array_sort(F.transform(tokens(romanized), lambda t: F.when(t == F.lower(country), "ctry").otherwise(t)))
+
+
+def content_words(words: Column, sounds: bool = False) -> Column:
+    """Words of two letters and more that are no legal forms, honorifics or articles; ``sounds`` also drops what sounds like one."""
+    kept = F.filter(words, lambda t: ~_one_of(t, K.MINOR) & (F.length(t) > 1))
+    if not sounds:
+        return kept
+    minor = F.filter(F.transform(F.array(*[F.lit(w) for w in K.MINOR]), skeleton), lambda s: F.length(s) >= 3)
+    return F.filter(kept, lambda t: ~F.array_contains(minor, skeleton(t)))
+
+
+def address_components(romanized: Column) -> Column:
+    """Cleaned parts of an address between commas, without empty ones."""
+    clean = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+    return F.array_remove(F.transform(F.split(romanized, ","), clean), "")
+
+
+def address_tokens(components: Column, areas: Column) -> Column:
+    """Array of (kind, value): words ``w`` to compare, words ``a`` of areas (for retrieval alone), numbers ``n``.
+
+    Floors (an ordinal before a word for floor) and placeholder words are left out, ordinals become ``<n>o``, tokens with
+    a digit are numbers. ``areas`` lists components that are too common to identify anything.
+    """
+    ordinals = lookup({w: f"{i}o" for i, w in enumerate(K.ORDINALS) if i})
+    item = lambda kind, v: F.struct(kind.alias("kind"), v.alias("value"))
+
+    def of(component: Column) -> Column:
+        area = F.array_contains(areas, component)
+
+        def parse(ts: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                ordinal = F.map_contains_key(ordinals, t) | t.rlike("^0*[0-9]+(st|nd|rd|th)$")
+                floor = ordinal & F.coalesce(_one_of(F.try_element_at(ts, i + 2), K.FLOOR), F.lit(False))
+                spelled = F.coalesce(F.try_element_at(ordinals, t), F.concat(F.regexp_extract(t, "^0*([0-9]+)", 1), F.lit("o")))
+                word = F.when(ordinal, spelled).otherwise(t)
+                kind = F.when(area, "a").otherwise("w")
+                return (
+                    F.when(floor | (~ordinal & _one_of(t, K.ADDR_DROP)), F.lit(None))
+                    .when(~ordinal & t.rlike("[0-9]"), item(F.lit("n"), F.regexp_replace(t, "^0+(?=.)", ""))).otherwise(item(kind, word))
+                )
+
+            return F.transform(ts, one)
+
+        return let(F.split(component, " "), parse)
+
+    return F.filter(F.flatten(F.transform(components, of)), lambda x: x.isNotNull())
+
+
+def tokens_of_kind(parsed: Column, *kinds: str) -> Column:
+    """Sorted distinct words of some kinds; numbers keep their order and repeats."""
+    picked = F.transform(F.filter(parsed, lambda x: x["kind"].isin(*kinds)), lambda x: x["value"])
+    return picked if kinds == ("n",) else F.array_sort(F.array_distinct(picked))

@@ -25,3 +25,18 @@ def per_anchor(universe: DataFrame, predicted: DataFrame, true: DataFrame, ancho
     )
     counts = universe.join(n, anchor, "left").fillna(0, ["n_true", "n_pred", "tp"])
     return counts.withColumn("f", f_score(F.col("tp"), F.col("n_pred"), F.col("n_true")))
+
+
+def bootstrap_gain(gains: DataFrame, gain: str = "gain", key: str = "s1_id", n: int = 200, seed: int = 0) -> DataFrame:
+    """(gain, low, high): mean of paired differences with the 2.5 and 97.5 percentiles of ``n`` resamples.
+
+    A row's weight in a resample is a Poisson number drawn by a hash of its key, so that rows never have to be collected
+    and reruns agree. One aggregation to ``n`` rows.
+    """
+    draws = gains.select(gain, key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_draw"))
+    u = F.pmod(F.xxhash64(F.lit(seed), key, "_draw"), F.lit(1_000_003)) / 1_000_003
+    # cumulative Poisson(1) probabilities; beyond 6 the share is below 1e-4
+    steps = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917]
+    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    means = draws.withColumn("_w", weight).groupBy("_draw").agg((F.sum(F.col(gain) * F.col("_w")) / F.sum("_w")).alias("_m"))
+    return gains.agg(F.avg(gain).alias("gain")).crossJoin(means.agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high")))  # single rows
