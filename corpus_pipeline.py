@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, linededup, packing, simhash, substring
-from tidemark.llm.common import Scratch, pick, read, with_key
+from tidemark.llm.common import Scratch, pick, read, shield, with_key
 
 
 def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,8 +21,8 @@ def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language one of the models accepts."""
     model = langid.fit(langid.sample(docs))
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where("accepted").select(*docs.columns)
+    hidden, restore = shield(docs)
+    return restore(langid.identify(hidden, model, keep=tuple(hidden.columns)).where("accepted"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard index 0.8) the first document."""
     scratch = Scratch(spark, "neardedup")
-    keyed = with_key(docs, scratch)
+    hidden, restore = shield(docs)
+    keyed = with_key(hidden, scratch)
     others = scratch.save(simhash.near_copies(docs, k=5, least=0.8, scratch=scratch).where("_k <> group").select("_k").distinct(), "others")
     _, kept = pick(keyed, others)
-    return (keyed.join(others, "_k", "left_anti") if kept is None else kept).select(*docs.columns)
+    return restore(keyed.join(others, "_k", "left_anti") if kept is None else kept)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ def make(spark):
 
     def build(rows):
         rows = [(i, t) if t is None or isinstance(t, str) else t for i, t in enumerate(rows)]
-        full = [(d, t, "en", "s", len(t or ""), "x", 7) for d, t in rows]
-        return spark.createDataFrame(full, DOCS + ", fp string, p int").repartition(3)
+        full = [(d, t, "en", "s", len(t or ""), "x", 7, "k", 1, "y", "n", 2) for d, t in rows]
+        return spark.createDataFrame(full, DOCS + ", fp string, p int, _k string, gone int, spans string, n_removed string, `group` int").repartition(3)
 
     return build
 

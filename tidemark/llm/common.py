@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +63,22 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shield(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """Documents whose columns besides doc_id and text have names that clash with nothing, and what gives the names back.
+
+    ``restore(df, *new)`` selects the documents' columns in their order and then ``new``; a column of the documents
+    that has the name of a new one gives way to it.
+    """
+    plain = ("doc_id", "text")
+    inner = {c: c if c in plain else f"_x{i}" for i, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()])
+
+    def restore(df: DataFrame, *new: str) -> DataFrame:
+        return df.select(*[F.col(x).alias(c) for c, x in inner.items() if c not in new], *new)
+
+    return hidden, restore
+
+
 #: Keys are below 2 ** KEY_BITS, so that a place in a document fits into a long with its key.
 KEY_BITS = 36
 
@@ -113,6 +132,32 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are slots, dealt out evenly; anything else as it is.
+
+    A few unsplittable files would leave most slots idle. Plans with exchanges are left to Spark, as looking at their
+    partitions would run them.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("Adaptive") or "Exchange" in plan.toString():
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if plan.execute().getNumPartitions() < slots else df
+
+
+#: Most bytes of an Arrow batch of texts, so that memory follows neither the number nor the length of rows.
+BATCH_BYTES = 6 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, if it is higher; the setting is read when a plan runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower()
+    size = int(re.sub("[^0-9]", "", now)) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
+    if size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow over bounded slices of rows.
 
@@ -135,7 +180,8 @@ def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                     arrays = [pa.array(got[f.name], type=f.type) for f in out_schema]
                     yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
 
-    return df.mapInArrow(run, spec)
+    bound_batches(df.sparkSession)
+    return spread(df).mapInArrow(run, spec)
 
 
 #: Document keys that may be broadcast to pick documents out of a scan; with more, the documents are shuffled.
@@ -153,5 +199,28 @@ def pick(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return docs, None
 
 
+_owner: str | None = None
+_clear: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, clear: Callable[[], object]) -> None:
+    """Say that this worker process now works for ``owner``; what other operators have cached in it is let go.
+
+    Workers outlive the stages of a pipeline, so their caches would add up.
+    """
+    global _owner
+    if _owner == owner:
+        return
+    for name, f in _clear.items():
+        if name != owner:
+            f()
+    _owner = owner
+    _clear[owner] = clear
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def env_single_thread() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -15,7 +15,7 @@ nothing. Without any labelled row everything is ``und``. Ties go to the language
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import claim, map_texts
 
 ORDER = 5
 #: Most labelled documents for each language, and most languages, in the training sample.
@@ -34,13 +34,16 @@ CALIBRATE = 5
 #: Letters an unknown character is one of.
 ALPHABET = 1 << 16
 #: Words with known scores that a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 #: Entropy allowed above the limit is SHORT / sqrt(characters).
 SHORT = 4.0
-LETTER = re.compile(r"[^\W\d_]")
 EDGE = 32
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -193,7 +196,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[str]]:
 
 def fit(texts: dict[str, list[str]]) -> Model | None:
     """Models with calibrated rejection from {lang: texts}."""
-    texts = {k: v for k, v in texts.items() if any(LETTER.search(t) for t in v)}
+    texts = {k: v for k, v in texts.items() if any(has_letter(t) for t in v)}
     if not texts:
         return None
     by_lang = {}
@@ -236,7 +239,7 @@ class Scorer:
             self.used += len(part)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
-        split = [words_of(t) if t and LETTER.search(t) else None for t in texts]
+        split = [words_of(t) if t and has_letter(t) else None for t in texts]
         self.learn({w for s in split if s for w in s})
         out = []
         for s in split:
@@ -258,18 +261,22 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
+def scorer(tag: str, model: Model) -> Scorer:
+    """This worker's scorer for a fitted model; it lasts from task to task."""
+    claim("langid", _scorers.clear)
+    if tag not in _scorers:
+        _scorers.clear()
+        _scorers[tag] = Scorer(model)
+    return _scorers[tag]
+
+
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and (lang_pred, score, entropy, accepted) of every whole text."""
-    import uuid
-
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by PER_LANG and MAX_LANGS
 
     def run(cols: dict) -> dict:
-        if tag not in _scorers:
-            _scorers.clear()
-            if shared.value is not None:
-                _scorers[tag] = Scorer(shared.value)
-        got = _scorers[tag](cols["text"]) if tag in _scorers else [("und", 0.0, None, False)] * len(cols["text"])
+        m = shared.value
+        got = scorer(tag, m)(cols["text"]) if m is not None else [("und", 0.0, None, False)] * len(cols["text"])
         lang, score, entropy, ok = zip(*got, strict=True) if got else ((), (), (), ())
         return {**{c: cols[c] for c in keep}, "lang_pred": lang, "score": score, "entropy": entropy, "accepted": ok}
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, map_texts, with_key
+from tidemark.llm.common import Scratch, claim, map_texts, with_key
 from tidemark.llm.components import components
 
 SEED = 42
@@ -316,9 +316,10 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
     closest pairs that span each group of a shard, never all pairs of a group. Texts with equal fingerprints are one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "nearcopies")
-    keyed = with_key(docs, scratch)
+    keyed = with_key(docs.select("doc_id", "text"), scratch)
 
     def run(cols: dict) -> dict:
+        claim("simhash", int)
         two = [fingerprint_words(t, k) for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "_k": cols["_k"], "fp": [x[0] for x in two], "fp2": [x[1] for x in two]}
 
