@@ -15,7 +15,8 @@ texts reaches the shuffle once per slice and not once per text. Texts that are w
 
 Earlier means a smaller doc_id, or the same document and an earlier start. Cases: null text has no words; a text
 shorter than a window keeps all words; rows that repeat a doc_id with different texts are ordered by text hash; equal
-rows count as one document and get equal results; null ids come first. Windows may overlap themselves.
+rows count as one document and get equal results; null ids come first. Windows may overlap themselves. Other columns pass
+through `dedup`; n_words and n_removed replace columns of those names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Scratch, arrow_schema, map_texts, pick, slices, with_key
+from tidemark.llm.common import Scratch, arrow_schema, bound_batches, claim, map_texts, pick, shield, slices, with_key
 
 WINDOW = 20
 GRAM = 6
@@ -41,6 +42,10 @@ _TOKENS = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Words whose hashes a worker keeps, for each seed.
+CACHE = 200_000
+
+
 class WordHashes(dict):
     """64-bit hashes of words, found once per worker; emptied when it has grown too large."""
 
@@ -49,7 +54,7 @@ class WordHashes(dict):
 
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w, self.seed)
-        if len(self) > 1_000_000:
+        if len(self) > CACHE:
             self.clear()
         self[w] = h
         return h
@@ -58,6 +63,11 @@ class WordHashes(dict):
 _hashes = {0: WordHashes(0), 1: WordHashes(1)}
 
 
+def _forget_hashes() -> None:
+    for h in _hashes.values():
+        h.clear()
+
+
 def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(_hashes[seed].__getitem__, words), np.uint64, len(words))
 
@@ -122,6 +132,7 @@ class FingerprintIndex:
         window, gram = self.window, self.gram
 
         def run(cols: dict) -> dict:
+            claim("substring", _forget_hashes)
             a, t, twice = [], [], []
             for text, th in zip(cols["text"], cols["t"], strict=True):
                 words = text.encode().split() if text else []
@@ -191,6 +202,7 @@ def later_windows(docs: DataFrame, hits: DataFrame, scratch: Scratch, window: in
     out_schema = arrow_schema(schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring", _forget_hashes)
         for batch in batches:
             rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: r[0])
             for a, b in slices([r[1] for r in rows]):
@@ -225,6 +237,7 @@ def later_windows(docs: DataFrame, hits: DataFrame, scratch: Scratch, window: in
                     [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(lk[starts]), pa.array(la[starts].astype(np.int32)), pa.array((la[stops] + window).astype(np.int32))], schema=out_schema
                 )
 
+    bound_batches(docs.sparkSession)
     ids = scratch.save(hits, "hits")
     chosen, _ = pick(docs, ids)
     found = scratch.save(chosen.select("_k", "text").join(ids, "_k").select("_k", "text", "anchors").mapInArrow(verify, schema), "windows")
@@ -253,7 +266,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
     Words that stay keep the white space behind them; texts that lose nothing are returned as they are. With ``digest``: (doc_id, n_words, n_removed, kept_sha256).
     """
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    keyed = with_key(docs, scratch)
+    hidden, restore = shield(docs)
+    keyed = with_key(hidden, scratch)
     # wholly equal texts: the first stands for all
     ids = scratch.save(keyed.where("text is not null").select("_k", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u")).distinct(), "ids")
     groups = ids.groupBy("t", "u").agg(F.min("_k").alias("first"), F.count("*").alias("n"))
@@ -275,8 +289,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
             copies.select("_k", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"), F.lit(True).alias("whole"))
         ), "changed"
     )
-    types = dict(docs.dtypes)
-    others = [c for c in docs.columns if c != "text"] if not digest else ["doc_id"]
+    types = dict(hidden.dtypes)
+    others = [c for c in hidden.columns if c != "text"] if not digest else ["doc_id"]
 
     def run(cols: dict) -> dict:
         n, gone, out = [], [], []
@@ -304,4 +318,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
         touched = touched.unionByName(rest.select(*others, "text", none.cast("array<struct<start:int,stop:int>>").alias("_spans"), none.cast("boolean").alias("_whole")))
     schema = ", ".join(f"`{c}` {types[c]}" for c in others) + ", n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string")
     out = map_texts(touched, run, schema)
-    return out if digest else out.select(*docs.columns, "n_words", "n_removed")
+    return out if digest else restore(out, "n_words", "n_removed")
