@@ -17,8 +17,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
-
 K = 7
 SIZE = 64
 #: Bytes of text in a range of neighbouring documents.
@@ -114,52 +112,41 @@ def positional_matches(a: DataFrame, b: DataFrame, k: int = K) -> DataFrame:
     return left.join(right, ["other_id", "hash"]).select("doc_id", "other_id", "position", "other_position")
 
 
-def next_descending(df: DataFrame, scratch: Scratch, columns: list[str], ranges: int) -> DataFrame:
-    """Add ``next_<column>`` of the row that follows in descending doc_id; the first row follows the last.
+def next_descending(df: DataFrame, columns: list[str], ranges: int, derive: dict[str, Column]) -> DataFrame:
+    """Add the columns of ``derive`` and ``next_<column>`` of the row that follows in descending doc_id; the first row follows the last.
 
-    Rows are dealt to ranges of doc_id by quantiles and sorted within each; only the first row of each range crosses a border.
+    Rows are dealt to ranges of doc_id by quantiles and sorted within each. The first row of a range is also sent to the
+    range before, where it stands behind the last row; the rows themselves move once. Null ids come last. Rows with equal ids
+    are ordered by ``columns``.
     """
     # at most MAX_RANGES numbers reach the driver
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.select(F.percentile_approx("doc_id", steps, 100_000)).first()[0] if steps else []
-    cuts = sorted(set(cuts or []))
-    if cuts:
-        bounds = F.lit(cuts)
-        # ranges are numbered in descending doc_id; null ids come last
-        number = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
-    else:
-        number = F.when(F.col("doc_id").isNull(), 1).otherwise(0)
-    dealt = df.withColumn("_g", number.cast("int"))
-    w = Window.partitionBy("_g").orderBy(F.desc_nulls_last("doc_id"), *[F.col(c) for c in columns])
-    rows = dealt.withColumns({f"_n_{c}": F.lead(F.struct(c)).over(w) for c in columns} | {"_i": F.row_number().over(w)})
-    rows = scratch.save(rows, "neighbours")
-    firsts = rows.where("_i = 1").select("_g", *[F.col(c).alias(f"_f_{c}") for c in columns])
-    # the range whose first row follows each range's last: a list of range numbers on the driver
-    used = sorted(r[0] for r in firsts.select("_g").collect())
-    after = {g: used[(i + 1) % len(used)] for i, g in enumerate(used)}
-    follow = df.sparkSession.createDataFrame([(v, k) for k, v in after.items()], "_g int, _to int") if after else None
-    last = F.col(f"_n_{columns[0]}").isNull()
-    inner = rows.where(~last).select(*df.columns, *[F.col(f"_n_{c}")[c].alias(f"next_{c}") for c in columns])
-    if follow is None:
-        return inner
-    border = firsts.join(follow, "_g").drop("_g").withColumnRenamed("_to", "_g")
-    outer = rows.where(last).join(border, "_g").select(*df.columns, *[F.col(f"_f_{c}").alias(f"next_{c}") for c in columns])
-    return inner.unionByName(outer)
-
-
-def neighbours(docs: DataFrame, k: int = K, size: int = SIZE, scratch: Scratch | None = None) -> DataFrame:
+    cuts = sorted(set(df.select(F.percentile_approx("doc_id", steps, 100_000)).first()[0] or [])) if steps else []
+    known = F.size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    dealt = df.withColumn("_g", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(known).cast("int"))
+    first = {r[0]: r[1] for r in dealt.groupBy("_g").agg(F.max("doc_id")).collect()}  # one row for each range
+    used = sorted(first)
+    before = [(used[i - 1], first[g], g) for i, g in enumerate(used)]
+    heads = df.sparkSession.createDataFrame(before, f"_to int, _first {dict(df.dtypes)['doc_id']}, _g int")
+    on = F.col("doc_id").eqNullSafe(F.col("_first"))
+    copies = dealt.join(F.broadcast(heads.drop("_g")), on).select(*df.columns, F.col("_to").alias("_g"), F.lit(1).alias("_copy"))
+    rows = dealt.withColumn("_copy", F.lit(0)).unionByName(copies).repartition("_g").withColumns(derive)
+    w = Window.partitionBy("_g").orderBy("_copy", F.desc_nulls_last("doc_id"), *columns)
+    out = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in [*columns, *derive]})
+    return out.where("_copy = 0").drop("_g", "_copy")
+
+
+def neighbours(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
     """Fingerprints of each text, of its edited text, and both likenesses.
 
     In the edited text the last floor(n_chars / 2) code points give way to the first as many (or all) of the next
     document's text, in descending doc_id; after the last document comes the first.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "syncmers")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     chars = docs.select(F.sum(F.length(text))).first()[0] or 0
     ranges = int(min(MAX_RANGES, max(1, chars // RANGE_BYTES)))
-    marked = rows.withColumn("fingerprint", fingerprint(F.col("text"), k, size))
-    pairs = next_descending(marked, scratch, ["text", "fingerprint"], ranges)
+    pairs = next_descending(rows, ["text"], ranges, {"fingerprint": fingerprint(F.col("text"), k, size)})
     n = F.length("text")
     pairs = pairs.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))")))
     out = pairs.select(
