@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
@@ -23,11 +24,12 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import claim, map_texts
 
 #: Entries of a worker's caches, each; a full cache is emptied.
-CACHE = 400_000
-ASCII_SPACE = " \t\n\r\x0b\x0c"
+CACHE = 600_000
+#: Below this, letters and numbers are the same in all Unicode versions in use.
+LATIN_END = "\u0250"
 
 
 def default_vocabulary() -> str:
@@ -51,16 +53,19 @@ def lower(s: str) -> str:
     return "".join(map(str.lower, s)) if "Σ" in s else s.lower()
 
 
+#: What str.split() splits at besides ASCII white space.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def split_space(text: str) -> list[str]:
     """Pieces between ASCII white space; other white space stays inside a piece."""
-    if text.isascii():
-        # bytes.split() knows just these six characters, str.split() more
-        return [x.decode() for x in text.encode().split()] if any("\x1c" <= c <= "\x1f" for c in text) else text.split()
-    return [x.decode() for x in text.encode().split()]
+    return [x.decode() for x in text.encode().split()] if _OTHER_SPACE.search(text) else text.split()
 
 
 class Vocabulary:
     def __init__(self, path: str):
+        self.path, self._tokenizer = path, None
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -82,7 +87,19 @@ class Vocabulary:
         return lower(unicodedata.normalize("NFC", text))
 
     def pretokens(self, text: str) -> list[str]:
-        return self.words.findall(self.normal(text))
+        if text.isascii() or max(text) < LATIN_END:
+            return self.words.findall(self.normal(text))
+        # the library's Unicode tables and those of this Python can be of different versions
+        t = self.tokenizer()
+        found = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in found]
+
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def encode_words(self, words: Iterable[str]) -> list[list[int]]:
         """Token ids of each word, through one pair occurrence index over all of them."""
@@ -182,11 +199,12 @@ class Encoder:
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Fill the caches for these pieces."""
-        new = [c for c in set(chunks) if c not in self.id_text]
+        chunks = set(chunks)
+        new = [c for c in chunks if c not in self.id_text]
         if len(self.id_text) + len(new) > CACHE:
             self.id_text.clear()
             self.token_text.clear()
-            new = list(set(chunks))
+            new = list(chunks)
         if len(self.known) > CACHE:
             self.known.clear()
         parts = [self.parts(c) for c in new]
@@ -201,7 +219,7 @@ class Encoder:
     def join(self, texts: list[str | None]) -> Iterable[tuple[bytes, bytes]]:
         """(decimal ids, tokens) of each text, joined by single spaces."""
         split = [split_space(t) if t else [] for t in texts]
-        self.learn(c for s in split for c in s)
+        self.learn(set().union(*split))
         for s in split:
             a = b" ".join(filter(None, map(self.id_text.__getitem__, s)))
             yield a, b" ".join(filter(None, map(self.token_text.__getitem__, s)))
@@ -223,6 +241,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(cols: dict) -> dict:
+        claim("bpe", encoder.cache_clear)
         ids = [list(map(int, a.split())) for a, _ in encoder(path).join(cols["text"])]
         return {"doc_id": cols["doc_id"], "ids": ids}
 
@@ -234,6 +253,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(cols: dict) -> dict:
+        claim("bpe", encoder.cache_clear)
         n, ids, out = [], [], []
         for a, b in encoder(path).join(cols["text"]):
             n.append(a.count(b" ") + 1 if a else 0)
