@@ -17,7 +17,7 @@ Lines are what stands between newlines. Lines without a word are no part of the
 
 Cases: null text stays null and has no lines; an empty text is one line without a word. Rows are ordered by doc_id,
 nulls first, then by text hash where ids repeat; equal rows count as one document and get equal results. Columns besides
-doc_id and text pass through `dedup` unchanged.
+doc_id and text pass through `dedup` unchanged; n_lines and n_removed replace columns of those names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, with_key
+from tidemark.llm.common import Scratch, pick, shield, spread, with_key
 
 MIN_LINES = 2
 MIN_WORDS = 8
@@ -52,7 +52,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """(p, at, line) of every line with a word: p is its place in the sequence, ``at`` its number among all lines of its text."""
     told = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     kept = F.filter(told, lambda x: has_word(x["line"]))
-    rows = docs.select("_k", F.posexplode(kept).alias("i", "x"))
+    rows = spread(docs).select("_k", F.posexplode(kept).alias("i", "x"))
     return rows.select((F.shiftleft("_k", LINE_BITS) + F.col("i")).alias("p"), "x.at", "x.line")
 
 
@@ -108,7 +108,7 @@ def runs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
     found = None
-    for n, ranks in suffix_ranks(with_key(docs, scratch), scratch):
+    for n, ranks in suffix_ranks(with_key(docs.select("doc_id", "text"), scratch), scratch):
         rows = ranks.where("r < p").select("p", "r", F.lit(n).alias("n"))
         found = rows if found is None else found.unionByName(rows)
     best = found.groupBy("p").agg(F.max("n").alias("n"), F.max_by("r", "n").alias("r"))
@@ -124,7 +124,8 @@ def runs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs taken out of ``text``, plus n_lines and n_removed."""
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
-    keyed = with_key(docs, scratch)
+    hidden, restore = shield(docs)
+    keyed = with_key(hidden, scratch)
     gone = scratch.save(deleted_lines(keyed.select("_k", "text"), scratch, min_lines, min_words), "gone")
     parts = F.split("text", "\n")
 
@@ -133,9 +134,13 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
         return F.array_join(F.transform(left, lambda j: x[j]), "\n")
 
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(parts), without)[0])
-    rows = keyed.join(gone, "_k", "left")
-    return rows.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    # only the texts that lose lines move
+    touched, rest = pick(keyed, gone)
+    rows = touched.join(gone, "_k", "left")
+    if rest is not None:
+        rows = rows.unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
+    rows = rows.withColumns({
+        "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    }).withColumn("text", text)
+    return restore(rows, "n_lines", "n_removed")
