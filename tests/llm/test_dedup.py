@@ -111,6 +111,26 @@ def test_near_copies_equal_brute_force(spark, make):
     assert got == dict(enumerate(root))
 
 
+def edited(words, n, tag):
+    """The words with ``n`` of them changed, at places that spoil five shingles each."""
+    w = list(words)
+    for p in rnd.sample(range(5, len(w) - 5, 10), n):
+        w[p] = f"{tag}e{p}"
+    return " ".join(w)
+
+
+def test_near_copies_of_one_original(spark, make):
+    """Copies that link to the original alone, while the nearest fingerprint is mostly another copy's."""
+    base = [f"b{i}" for i in range(304)]
+    texts = [" ".join(base)] + [edited(base, 5, f"c{i}") for i in range(120)] + [prose(150) for _ in range(20)]
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert sum(close(a, b) for a, b in itertools.combinations(range(1, 121), 2)) < 100
+    root = union(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if close(a, b)])
+    for block in (simhash.BLOCK, 60_000):
+        assert {r.doc_id: r.group for r in simhash.near_copies(make(texts), block=block).collect()} == dict(enumerate(root))
+
+
 def test_simhash_edges(spark, make):
     rows = simhash.near_duplicates(make(EDGES)).collect()
     assert len(rows) == len(EDGES)

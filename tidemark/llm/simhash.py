@@ -257,6 +257,9 @@ def with_hex(df: DataFrame) -> DataFrame:
 #: Bits of 128 in which a pair may differ to be compared by its shingles: texts at a Jaccard index of 0.8 differ in 20 on average, with a deviation of 4.
 LOOSE = 34
 LOOSE_WORD = 20
+#: Bytes of shingles, and of what each text takes besides, in a block of a large cluster.
+BLOCK = 16 << 20
+TEXT_BYTES = 1024
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
@@ -266,54 +269,71 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indexes of edges that make up a minimum spanning forest, by rounds in which each tree takes its lightest edge."""
-    label, order = np.arange(n), np.argsort(weight, kind="stable")
-    place = np.empty(len(a), np.int64)
-    place[order] = np.arange(len(a))
-    taken: list[np.ndarray] = []
-    live = np.arange(len(a))
-    while True:
-        live = live[label[a[live]] != label[b[live]]]
-        if not len(live):
-            return np.unique(np.concatenate(taken)) if taken else np.empty(0, np.int64)
-        best = np.full(n, len(a))
-        np.minimum.at(best, label[a[live]], place[live])
-        np.minimum.at(best, label[b[live]], place[live])
-        pick = order[np.unique(best[best < len(a)])]
-        taken.append(pick)
-        label = _roots(n, label[a[pick]], label[b[pick]], label)
-
-
-def shard_forest(words: list[np.ndarray], home: np.ndarray, most: int, most_word: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): the closest pairs that span what is within ``most`` bits of all words in a shard, ``most_word`` in the first."""
+def shard_close(words: list[np.ndarray], home: np.ndarray, most: int, most_word: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): stars that span what is within ``most`` bits of all words in a shard, ``most_word`` in the first."""
     order = np.argsort(~home, kind="stable")
     words, members, n = [w[order] for w in words], int(home.sum()), len(home)
-    a = b = h = np.empty(0, np.int64)
+    label = np.arange(n)
     step = max(1, 1_000_000 // max(1, members))
     for start in range(0, n, step):
         x, y = np.nonzero(np.bitwise_count(words[0][start : start + step, None] ^ words[0][None, :members]) <= most_word)
         x = x + start
         x, y = x[x > y], y[x > y]
-        d = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
-        x, y, d = x[d <= most], y[d <= most], d[d <= most]
-        if len(x):
-            a, b, h = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([h, d])
-            if len(a) > 4 * n:
-                keep = forest(n, a, b, h)
-                a, b, h = a[keep], b[keep], h[keep]
-    keep = forest(n, a, b, h) if len(a) else np.empty(0, np.int64)
-    return order[a[keep]], order[b[keep]]
+        near = (sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words) <= most) & (label[x] != label[y])
+        if near.any():
+            label = _roots(n, x[near], y[near], label)
+    linked = np.flatnonzero(label != np.arange(n))
+    return order[linked], order[label[linked]]
 
 
-def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4, leaf: int = LEAF, salt: int = SALT, scratch: Scratch | None = None) -> DataFrame:
+def linked_sets(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): links that span the groups of sets with a Jaccard index of at least ``least``.
+
+    Each set that a search reaches is compared with all sets not reached yet, by counts over the holders of its members.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(member, kind="stable")
+    holders = np.repeat(np.arange(n), sizes)[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(member))])
+    left, indexed = np.ones(n, bool), n
+    u: list[int] = []
+    v: list[int] = []
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first] = False
+        todo = [first]
+        while todo:
+            remain = int(left.sum())
+            if not remain:
+                return np.array(u, np.int64), np.array(v, np.int64)
+            if remain * 2 < indexed:
+                keep = left[holders]
+                ends, holders, indexed = np.concatenate([[0], np.cumsum(keep)])[ends], holders[keep], remain
+            i = todo.pop()
+            own = member[starts[i] : starts[i + 1]]
+            counts = ends[own + 1] - ends[own]
+            places = np.arange(counts.sum()) + np.repeat(ends[own] - np.cumsum(counts) + counts, counts)
+            both = np.bincount(holders[places], minlength=n)
+            found = np.flatnonzero(left & (both >= least * (sizes[i] + sizes - both)))
+            left[found] = False
+            u += [i] * len(found)
+            v += found.tolist()
+            todo += found.tolist()
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4, leaf: int = LEAF, salt: int = SALT, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, _k, group): documents linked by a Jaccard index of at least ``least`` over their distinct k-word shingles.
 
     ``_k`` is the order key of a document, ``group`` the smallest one linked to it through any chain. A pair at 0.8 differs in
     too many of 64 bits for any cut to be sure of a field that is nearly equal. So there are two fingerprint words and ``blocks``
     fields in each, of which one within a bit is enough: for eight fields of 16 bits that misses one pair in fourteen at 0.8, in 40 at
-    0.85, in 300 at 0.9. What is close in all 128 bits is compared by its shingles, along the
-    closest pairs that span each group of a shard, never all pairs of a group. Texts with equal fingerprints are one.
+    0.85, in 300 at 0.9. What is close in all 128 bits, through any chain, is a cluster, and within a cluster every text is compared
+    by its shingles with every other that is not linked to it yet. A cluster beyond ``block`` bytes is cut into blocks, and a task
+    compares two of them. Texts with equal fingerprints are one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "nearcopies")
     keyed = with_key(docs.select("doc_id", "text"), scratch)
@@ -329,32 +349,31 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
 
     def compare(table: pa.Table) -> pa.Table:
         words = [table.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")]
-        i, j = shard_forest(words, table.column("home").to_numpy(zero_copy_only=False), LOOSE, LOOSE_WORD)
+        i, j = shard_close(words, table.column("home").to_numpy(zero_copy_only=False), LOOSE, LOOSE_WORD)
         fp = words[0].view(np.int64)
-        return pa.table({"u": np.minimum(fp[i], fp[j]), "v": np.maximum(fp[i], fp[j])})
+        return pa.table({"u": fp[i], "v": fp[j]})
 
     dealt = deal(distinct, ["fp", "fp2"], fields(blocks, 2), 1, leaf, salt)
-    close = scratch.save(dealt.groupBy("tree", "leaf", "salt").applyInArrow(compare, "u long, v long").distinct(), "close")
-    ends = close.select(F.col("u").alias("fp")).union(close.select("v")).distinct()
-    reps = scratch.save(distinct.join(ends, "fp").select("fp", F.col("rep").alias("_k")), "reps")
+    close = components(dealt.groupBy("tree", "leaf", "salt").applyInArrow(compare, "u long, v long"), scratch)
+    reps = scratch.save(distinct.join(close.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "fp").select("fp", "cluster", F.col("rep").alias("_k")), "reps")
 
     def sets(cols: dict) -> dict:
-        return {"fp": cols["fp"], "grams": [shingles(t, k).tobytes() for t in cols["text"]]}
-
-    chosen = keyed.select("_k", "text").join(reps, "_k").dropDuplicates(["fp"])
-    grams = scratch.save(map_texts(chosen.select("fp", "text"), sets, "fp long, grams binary"), "shingles")
-    one, two = grams.select(F.col("fp").alias("u"), F.col("grams").alias("a")), grams.select(F.col("fp").alias("v"), F.col("grams").alias("b"))
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
-
-    linked = close.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+        return {"fp": cols["fp"], "cluster": cols["cluster"], "grams": [shingles(t, k).tobytes() for t in cols["text"]]}
+
+    chosen = keyed.select("_k", "text").join(reps, "_k").dropDuplicates(["_k"])
+    grams = scratch.save(map_texts(chosen.select("fp", "cluster", "text"), sets, "fp long, cluster long, grams binary"), "shingles")
+    parts = F.ceil(F.sum(F.length("grams") + TEXT_BYTES) / block).cast("int").alias("parts")
+    large = grams.groupBy("cluster").agg(parts).where("parts > 1")  # at most one row for each block of bytes
+    cut = grams.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.where("parts = 1 OR own <> other").withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def link(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy()
+        i, j = linked_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], least)
+        return pa.table({"u": fp[i], "v": fp[j]})
+
+    linked = cut.select("fp", "cluster", "low", "high", "grams").groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long")
     roots = components(linked, scratch)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("rep").alias("group"))
