@@ -131,6 +131,17 @@ def test_near_copies_of_one_original(spark, make):
         assert {r.doc_id: r.group for r in simhash.near_copies(make(texts), block=block).collect()} == dict(enumerate(root))
 
 
+def test_near_copies_do_not_depend_on_repeats(spark, make):
+    """Repeats of a passage do not part texts of the same shingles, and one shingle that prevails does not join others."""
+    texts = []
+    for i in range(10):
+        body, loop = " ".join(f"d{i}w{j}" for j in range(200)), " ".join(f"d{i}r{j}" for j in range(20))
+        texts += [f"{body} {loop} {loop}", f"{body} {' '.join([loop] * 20)}"]
+    texts += ["ha " * 400 + " ".join(f"s{i}w{j}" for j in range(60)) for i in range(10)]
+    got = {r.doc_id: r.group for r in simhash.near_copies(make(texts)).collect()}
+    assert got == {i: i // 2 * 2 if i < 20 else i for i in range(30)}
+
+
 def test_simhash_edges(spark, make):
     rows = simhash.near_duplicates(make(EDGES)).collect()
     assert len(rows) == len(EDGES)

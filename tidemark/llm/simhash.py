@@ -40,6 +40,15 @@ LEAF = 2048
 SALT = 8192
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), 8192):
+        bits = np.unpackbits(h[a : a + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, k: int = 4, seed: int = SEED) -> int:
     """SimHash of the lower-cased k-word shingles, repeats counted; 0 without words."""
     words = (text or "").encode().lower().split()
@@ -51,17 +60,7 @@ def fingerprint(text: str | None, k: int = 4, seed: int = SEED) -> int:
     else:
         grams = map(b" ".join, zip(*(words[j:] for j in range(k)), strict=False))
         n = n - k + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n if len(words) >= k else 1)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(h), 8192):
-        bits = np.unpackbits(h[a : a + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
-
-
-def fingerprint_words(text: str | None, k: int) -> tuple[int, int]:
-    """Two signed 64-bit SimHashes of the same shingles, the second of hashes that are mixed anew."""
-    return tuple(int(np.uint64(x).view(np.int64)) for x in (fingerprint(text, k), fingerprint(text, k, SEED + 1)))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n if len(words) >= k else 1))
 
 
 def fingerprints(docs: DataFrame, k: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -269,6 +268,26 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of hashes, by the finalizer of splitmix64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def cell(fp: np.ndarray, fp2: np.ndarray) -> np.ndarray:
+    """One number for both words of a fingerprint; where two fingerprints share it, their texts are compared."""
+    return (fp * np.uint64(0x9E3779B97F4A7C15)) ^ fp2
+
+
+def keys(texts: list, k: int) -> dict[str, np.ndarray]:
+    """For each text a hash of its set of shingles, two SimHashes of the set, and their cell."""
+    sets = [shingles(t, k) for t in texts]
+    fp, fp2 = (np.array([majority(g) for g in x], np.uint64) for x in (sets, map(mixed, sets)))
+    node = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in sets], np.uint64)
+    return {c: x.view(np.int64) for c, x in (("node", node), ("cell", cell(fp, fp2)), ("fp", fp), ("fp2", fp2))}
+
+
 def shard_close(words: list[np.ndarray], home: np.ndarray, most: int, most_word: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): stars that span what is within ``most`` bits of all words in a shard, ``most_word`` in the first."""
     order = np.argsort(~home, kind="stable")
@@ -333,49 +352,52 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
     fields in each, of which one within a bit is enough: for eight fields of 16 bits that misses one pair in fourteen at 0.8, in 40 at
     0.85, in 300 at 0.9. What is close in all 128 bits, through any chain, is a cluster, and within a cluster every text is compared
     by its shingles with every other that is not linked to it yet. A cluster beyond ``block`` bytes is cut into blocks, and a task
-    compares two of them. Texts with equal fingerprints are one.
+    compares two of them. Fingerprints are of the distinct shingles; texts with equal sets of shingles are one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "nearcopies")
     keyed = with_key(docs.select("doc_id", "text"), scratch)
 
     def run(cols: dict) -> dict:
         claim("simhash", int)
-        two = [fingerprint_words(t, k) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "_k": cols["_k"], "fp": [x[0] for x in two], "fp2": [x[1] for x in two]}
+        return {"doc_id": cols["doc_id"], "_k": cols["_k"], **keys(cols["text"], k)}
 
     kind = dict(docs.dtypes)["doc_id"]
-    fps = scratch.save(map_texts(keyed.select("doc_id", "_k", "text"), run, f"doc_id {kind}, _k long, fp long, fp2 long"), "fingerprints")
-    distinct = scratch.save(fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("_k").alias("rep")), "distinct")
+    rows = scratch.save(map_texts(keyed.select("doc_id", "_k", "text"), run, f"doc_id {kind}, _k long, node long, cell long, fp long, fp2 long"), "fingerprints")
+    distinct = scratch.save(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("cell", "fp", "fp2")], F.min("_k").alias("rep")), "distinct")
+    fps = scratch.save(distinct.select("fp", "fp2").distinct(), "cells")
 
     def compare(table: pa.Table) -> pa.Table:
         words = [table.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")]
         i, j = shard_close(words, table.column("home").to_numpy(zero_copy_only=False), LOOSE, LOOSE_WORD)
-        fp = words[0].view(np.int64)
-        return pa.table({"u": fp[i], "v": fp[j]})
+        at = cell(*words).view(np.int64)
+        return pa.table({"u": at[i], "v": at[j]})
 
-    dealt = deal(distinct, ["fp", "fp2"], fields(blocks, 2), 1, leaf, salt)
+    dealt = deal(fps, ["fp", "fp2"], fields(blocks, 2), 1, leaf, salt)
     close = components(dealt.groupBy("tree", "leaf", "salt").applyInArrow(compare, "u long, v long"), scratch)
-    reps = scratch.save(distinct.join(close.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "fp").select("fp", "cluster", F.col("rep").alias("_k")), "reps")
+    placed = distinct.join(close.withColumnRenamed("node", "cell"), "cell", "left").select("node", F.coalesce("root", "cell").alias("cluster"), "rep")
+    placed = scratch.save(placed, "placed")
+    several = placed.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    reps = scratch.save(placed.join(several, "cluster").select("node", "cluster", F.col("rep").alias("_k")), "reps")
 
     def sets(cols: dict) -> dict:
-        return {"fp": cols["fp"], "cluster": cols["cluster"], "grams": [shingles(t, k).tobytes() for t in cols["text"]]}
+        return {"node": cols["node"], "cluster": cols["cluster"], "grams": [shingles(t, k).tobytes() for t in cols["text"]]}
 
     chosen = keyed.select("_k", "text").join(reps, "_k").dropDuplicates(["_k"])
-    grams = scratch.save(map_texts(chosen.select("fp", "cluster", "text"), sets, "fp long, cluster long, grams binary"), "shingles")
+    grams = scratch.save(map_texts(chosen.select("node", "cluster", "text"), sets, "node long, cluster long, grams binary"), "shingles")
     parts = F.ceil(F.sum(F.length("grams") + TEXT_BYTES) / block).cast("int").alias("parts")
     large = grams.groupBy("cluster").agg(parts).where("parts > 1")  # at most one row for each block of bytes
     cut = grams.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.where("parts = 1 OR own <> other").withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
     def link(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy()
+        node = table.column("node").to_numpy()
         i, j = linked_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], least)
-        return pa.table({"u": fp[i], "v": fp[j]})
+        return pa.table({"u": node[i], "v": node[j]})
 
-    linked = cut.select("fp", "cluster", "low", "high", "grams").groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long")
+    linked = cut.select("node", "cluster", "low", "high", "grams").groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long")
     roots = components(linked, scratch)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = distinct.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min("rep").alias("group"))
-    groups = scratch.save(named.join(first, "root").select("fp", "group"), "groups")
-    return fps.join(groups, "fp").select("doc_id", "_k", "group")
+    groups = scratch.save(named.join(first, "root").select("node", "group"), "groups")
+    return rows.join(groups, "node").select("doc_id", "_k", "group")
