@@ -53,6 +53,26 @@ def test_license_findings(spark, make):
     assert license.scan(make(EDGES)).count() == 0 and license.scan(make([])).count() == 0
 
 
+def test_license_with_repeated_words_altered():
+    """Words that a template has once are altered while its coverage stays above the least."""
+    scanner = license.Scanner(license.TEMPLATES)
+    for name, i, n in (("Apache-2.0", 1, 5), ("GPL-3.0", 1, 6)):
+        t = license.words(license.TEMPLATES[name][i])
+        once = [w for w in t if t.count(w) == 1][::3][:n]
+        text = " ".join(f"altered{w}" if w in once else w for w in t)
+        assert [(o[0], o[1]) for o in scanner.scan(text)] == [(name, (len(t) - n) / len(t))]
+
+
+def test_license_copies_in_a_row():
+    scanner = license.Scanner(license.TEMPLATES)
+    for name, notices in license.TEMPLATES.items():
+        for notice in notices:
+            n = len(license.words(notice))
+            got = scanner.scan("\n".join([notice] * 7))
+            assert [(o[0], o[1], o[3], o[4]) for o in got] == [(name, 1.0, n * i, n * i + n) for i in range(7)]
+    assert [o[:2] for o in scanner.scan("Released under the very MIT License. " * 4)] == [("MIT", 1.0)] * 4
+
+
 # packing
 
 

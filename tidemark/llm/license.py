@@ -3,8 +3,10 @@
 A template is aligned with a stretch of text: words that occur once in both are anchors, the longest increasing
 subsequence of their places stays, and the gaps between anchors, where other words are unique, are aligned the same way.
 Coverage is the share of the template's words that got aligned. A stretch is twice a template's length and starts every half
-length, so that a notice that occurs often in a text, or with words put in, lies whole in one of them; stretches that do not
-hold enough of the template's words are left out before, which loses none that could reach ``least``.
+length, so that a notice with words put in lies whole in one of them. Copies that follow on each other leave no word of such
+a stretch unique, so stretches of one length and of one and a half also start wherever a word of the text says that the template
+would start. Texts and stretches that do not hold enough of the template's words, repeats counted, are left out before, which
+loses none that could reach ``least``.
 
 Of findings that overlap the one with more aligned words stays, then the one with the higher coverage, then the one that
 starts first.
@@ -105,9 +107,8 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], least: float = LEAST):
         self.templates = [(name, words(t)) for name, ts in templates.items() for t in ts]
-        self.need = [(name, t, frozenset(t), least * len(t)) for name, t in self.templates if t]
+        self.need = [(name, t, Counter(t), least * len(t)) for name, t in self.templates if t]
         self.vocabulary = frozenset(w for _, t in self.templates for w in t)
-        self.least = least
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """[(license, coverage, aligned words, first word, end)] without overlaps, in the order of the text."""
@@ -117,15 +118,20 @@ class Scanner:
         have = self.vocabulary.intersection(ws)
         found = []
         at: list[int] | None = None
-        for name, t, distinct, need in self.need:
-            if len(distinct & have) < self.least * len(distinct):
+        for name, t, times, need in self.need:
+            if sum(times[w] for w in times.keys() & have) < need:
                 continue
             at = [i for i, w in enumerate(ws) if w in self.vocabulary] if at is None else at
-            mine = [i for i in at if ws[i] in distinct]
+            mine = [i for i in at if ws[i] in times]
             n = len(t)
             step, width = max(1, n // 2), 2 * n
-            starts = sorted({s for i in mine for s in range(max(0, (i - width) // step * step), i + 1, step) if s <= i < s + width})
-            for s in starts:
+            stretches = {(s, width) for i in mine for s in range(max(0, (i - width) // step * step), i + 1, step) if s <= i < s + width}
+            places: dict[str, list[int]] = {}
+            for i, w in enumerate(t):
+                places.setdefault(w, []).append(i)
+            begins = {max(0, i - p) for i in mine for p in places[ws[i]]}
+            stretches |= {(s, long) for s in begins for long in (n, n + step)}
+            for s, width in sorted(stretches):
                 if bisect_left(mine, s + width) - bisect_left(mine, s) < need:
                     continue
                 pairs = align(t, ws[s : s + width])
