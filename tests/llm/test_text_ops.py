@@ -276,6 +276,17 @@ def test_syncmers_do_not_depend_on_context(spark, make):
     assert shared >= len(a)
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark, make):
+    """Texts of seven to eleven words, of which many have no syncmer, are alike to none but themselves."""
+    texts = [" ".join(f"s{i}w{j}" for j in range(7 + i % 5)) for i in range(60)] + [""]
+    rows = syncmers.neighbours(make(texts)).collect()
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    assert [i for i, x in prints.items() if not x] == [60] and len(set(prints.values())) == 61
+    assert {r.near_next for r in rows} == {0.0}
+    none = {i for i, n in make(texts[:60]).selectExpr("doc_id", "text").select("doc_id", syncmers.F.size(syncmers.anchors(syncmers.F.col("text")))).collect() if not n}
+    assert none and all(len(prints[i]) == 8 for i in none)
+
+
 def test_neighbours(spark, make):
     texts = [" ".join(f"t{i}w{rnd.randint(0, 999)}" for _ in range(rnd.randint(1, 120))) for i in range(30)] + [texts_ for texts_ in ("same text here", "same text here")]
     for ranges in (1, 4):

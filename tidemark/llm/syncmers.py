@@ -5,8 +5,8 @@ or its last place: a property of the run alone, so an edit elsewhere neither add
 is the ``size`` smallest hashes of the text's distinct syncmers, 8 hex digits each, ascending. The likeness of two
 fingerprints is the number of shared hashes over the longer one's length: about the share of the anchors in common.
 
-Cases: null text is empty; a text without words has the empty fingerprint, one with fewer than ``k`` words has the hash
-of all its words as its one anchor. Two empty fingerprints are alike (1), an empty and another are not (0). Equal texts have equal
+Cases: null text is empty; a text without words has the empty fingerprint, and no other; one with fewer than ``k`` words, or with so few more
+that no run of them is a syncmer, has the hash of all its words as its one hash. Two empty fingerprints are alike (1), an empty and another are not (0). Equal texts have equal
 fingerprints. Rows that repeat a doc_id are ordered by text. Texts of any length are read whole.
 """
 
@@ -81,7 +81,8 @@ def fingerprint(text: Column, k: int = K, size: int = SIZE) -> Column:
     def of(h: Column) -> Column:
         # the upper half of a hash as an unsigned number, so that its hex digits sort as it does
         one = lambda _, run: F.shiftrightunsigned(F.xxhash64(run), 32)
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.array(one(None, h))).otherwise(_selected(h, k, one))
+        some = let(_selected(h, k, one), lambda x: F.when(F.size(x) == 0, F.array(one(None, h))).otherwise(x))
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, F.array(one(None, h))).otherwise(some)
 
     low = F.slice(F.sort_array(F.array_distinct(let(word_hashes(text), of))), 1, size)
     return F.array_join(F.transform(low, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
