@@ -50,3 +50,19 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pairs_of_all_ids(spark, tmp_path):
+    """Names and suppliers with ids beyond 2000 are paired like any other."""
+    names = ["amber rose", "amber rise", "azure rose", "blue rose"]
+    parts = [(i, n, "Brand#11", 1) for i, n in zip((1, 2000, 2001, 90_000), names, strict=True)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    suppliers = [(i, 3) for i in (1, 2, 2001, 2002, 70_001)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = {(a, b) for a in names for b in names if a[0] == b[0]}
+    for name in ("edit_distances", "fuzzy_similarities"):
+        assert {(r.name, r.other) for r in QUERIES[name](spark, str(tmp_path)).collect()} == pairs
+    best = {r.name: r.other for r in QUERIES["extract_best"](spark, str(tmp_path)).collect()}
+    assert best["amber rose"] == "amber rise" and best["azure rose"] in names[:2]
+    got = {(r.s1_id, r.cand_id) for r in QUERIES["address_comparison"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in (2, 2002) for b in (1, 2001, 70_001)}

@@ -117,7 +117,7 @@ def signatures_and_jaccard(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _name_pairs(spark: SparkSession, root: str) -> DataFrame:
-    n = names(spark, root).where("id <= 2000").select("name").distinct()
+    n = names(spark, root).select("name").distinct()
     o = n.select(F.col("name").alias("other"), F.substring("name", 1, 1).alias("k"))
     return n.withColumn("k", F.substring("name", 1, 1)).join(o, "k").select("name", "other")
 
