@@ -5,6 +5,7 @@ Only transliteration needs Python (`fold`, an Arrow UDF); everything after it st
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -99,8 +100,9 @@ def _romanize(s: pd.Series) -> pd.Series:
 
 
 def fold(c: Column) -> Column:
-    """Lower-case ASCII of a text. Pure ASCII never leaves the JVM's branch of the result."""
-    return _fold(c)
+    """Lower-case ASCII of a text. Only texts with other characters are sent to Python."""
+    other = c.rlike(r"[^\x00-\x7f]")
+    return F.when(other, _fold(F.when(other, c))).otherwise(F.lower(c))
 
 
 def romanize(c: Column) -> Column:
@@ -292,13 +294,24 @@ def name_tokens(romanized: Column, country: Column) -> Column:
     return F.array_sort(F.transform(tokens(romanized), lambda t: F.when(t == F.lower(country), "ctry").otherwise(t)))
 
 
+def _plain_skeleton(word: str) -> str:
+    """`skeleton` of a word that is known here, so that fixed lists are coded once and not in every row."""
+    s = re.sub("[ts]ion", "sn", word)
+    for a, b in K.DIGRAPHS:
+        s = s.replace(a, b)
+    s = re.sub(f"m(?=[{K.NASAL_BEFORE_2}])", "n", s).translate(str.maketrans(*K.SOUND_LETTERS))
+    bare = re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]+", "", s))
+    return bare or s[:1]
+
+
+#: Skeletons of the minor words, of those that have three letters left.
+MINOR_SKELETONS = tuple(sorted({s for s in map(_plain_skeleton, K.MINOR) if len(s) >= 3}))
+
+
 def content_words(words: Column, sounds: bool = False) -> Column:
     """Words of two letters and more that are no legal forms, honorifics or articles; ``sounds`` also drops what sounds like one."""
     kept = F.filter(words, lambda t: ~_one_of(t, K.MINOR) & (F.length(t) > 1))
-    if not sounds:
-        return kept
-    minor = F.filter(F.transform(F.array(*[F.lit(w) for w in K.MINOR]), skeleton), lambda s: F.length(s) >= 3)
-    return F.filter(kept, lambda t: ~F.array_contains(minor, skeleton(t)))
+    return F.filter(kept, lambda t: ~_one_of(skeleton(t), MINOR_SKELETONS)) if sounds else kept
 
 
 def address_components(romanized: Column) -> Column:

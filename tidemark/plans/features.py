@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.phonetic import metaphones_of
+from tidemark.operators import compare as C
 from tidemark.operators import evidence as E
 from tidemark.operators import pairs as P
 from tidemark.plans.core import query
@@ -14,18 +16,19 @@ from tidemark.sources.tables import table
 
 
 def record_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """(s1_id, cand_id, a, b, na, nb, label): words and numbers of parts that share a brand and a size class."""
+    """(s1_id, cand_id, a, b, na, nb, label): words and numbers of parts that share a brand and a size."""
+    key = F.col("p_partkey")
     p = table(spark, root, "part").select(
-        F.col("p_partkey").alias("id"), "p_brand", F.split(F.lower("p_name"), " ").alias("w"), F.array(F.col("p_size").cast("string"), (F.col("p_partkey") % 100).cast("string")).alias("n")
+        key.alias("id"), "p_brand", "p_size", F.split(F.lower("p_name"), " ").alias("w"), F.array((key % 97).cast("string"), (F.col("p_size") + key % 3).cast("string")).alias("n")
     )
     s, c = p.where("id % 2 = 0"), p.where("id % 2 = 1")
-    left = s.select(F.col("id").alias("s1_id"), "p_brand", F.col("w").alias("a"), F.col("n").alias("na"))
-    right = c.select(F.col("id").alias("cand_id"), "p_brand", F.col("w").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, "p_brand").drop("p_brand").withColumn("label", (F.col("s1_id") + F.col("cand_id")) % 3 == 0)
+    left = s.select(F.col("id").alias("s1_id"), "p_brand", "p_size", F.col("w").alias("a"), F.col("n").alias("na"))
+    right = c.select(F.col("id").alias("cand_id"), "p_brand", "p_size", F.col("w").alias("b"), F.col("n").alias("nb"))
+    return left.join(right, ["p_brand", "p_size"]).drop("p_brand", "p_size").withColumn("label", (F.col("s1_id") + F.col("cand_id")) % 3 == 0)
 
 
-RECORD_PAIRS = """part_words AS (SELECT p_partkey AS id, p_brand, string_split(lower(p_name), ' ') AS w, [p_size::VARCHAR, (p_partkey % 100)::VARCHAR] AS n FROM part),
-rp AS (SELECT s.id AS s1_id, c.id AS cand_id, s.w AS a, c.w AS b, s.n AS na, c.n AS nb, (s.id + c.id) % 3 = 0 AS label FROM part_words s JOIN part_words c USING (p_brand) WHERE s.id % 2 = 0 AND c.id % 2 = 1)"""
+RECORD_PAIRS = """part_words AS (SELECT p_partkey AS id, p_brand, p_size, string_split(lower(p_name), ' ') AS w, [(p_partkey % 97)::VARCHAR, (p_size + p_partkey % 3)::VARCHAR] AS n FROM part),
+rp AS (SELECT s.id AS s1_id, c.id AS cand_id, s.w AS a, c.w AS b, s.n AS na, c.n AS nb, (s.id + c.id) % 3 = 0 AS label FROM part_words s JOIN part_words c USING (p_brand, p_size) WHERE s.id % 2 = 0 AND c.id % 2 = 1)"""
 
 
 def _diff(x: str, y: str) -> str:
@@ -43,9 +46,8 @@ SELECT s1_id, cand_id, CASE WHEN len(ua) = 0 AND len(ub) = 0 THEN 1 WHEN len(ua)
   coalesce(list_max(suf), -1)::INT AS numx_suffix, (na <> nb AND array_to_string(na, '') = array_to_string(nb, ''))::INT AS numx_concat,
   coalesce(round(ln(1 + list_min(gap)), 6), -1.0::DOUBLE) AS numx_gap, coalesce((list_min(gap) <= 10)::INT, -1)::INT AS numx_near FROM x""")
 def number_features(spark: SparkSession, root: str) -> DataFrame:
-    f = P.number_features(F.col("na"), F.col("nb"))
-    f |= {c: F.round(f[c], 6) for c in ("num_first_logdiff", "numx_gap")}
-    return record_pairs(spark, root).select("s1_id", "cand_id", *[v.cast("int").alias(k) if k not in ("num_first_logdiff", "numx_gap") else v.alias(k) for k, v in f.items()])
+    rows = record_pairs(spark, root).select("s1_id", "cand_id", P.number_struct(F.col("na"), F.col("nb")).alias("f")).select("s1_id", "cand_id", "f.*")
+    return rows.withColumns({c: F.round(c, 6) for c in ("num_first_logdiff", "numx_gap")})
 
 
 @query(f"""WITH {RECORD_PAIRS} SELECT s1_id, cand_id, len({_diff('b', 'a')})::INT AS n_added, len({_diff('a', 'b')})::INT AS n_dropped, 0 AS legal_conflict, 0 AS legal_added, (a = b)::INT AS core_equal,
@@ -60,11 +62,15 @@ def name_and_address_features(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def record_comparison(spark: SparkSession, root: str) -> DataFrame:
-    """Difference classes of words and numbers, compared once per distinct pair of arrays."""
+    """Difference classes of names and numbers; every third anchor's name counts as one in another script, which is compared by sound."""
     rp = record_pairs(spark, root)
-    words = rp.select("a", "b").distinct().withColumn("n", P.name_comparison(F.col("a"), F.col("b"))).select("a", "b", "n.*")
-    numbers = rp.select("na", "nb").distinct().withColumn("m", P.number_comparison(F.col("na"), F.col("nb"))).select("na", "nb", "m.*")
-    return rp.join(words, ["a", "b"]).join(numbers, ["na", "nb"]).select("s1_id", "cand_id", "code", "n_added", "n_dropped", "n_typos", F.round("jaccard", 9).alias("jaccard"), "relation", F.round("log_gap", 6).alias("log_gap"), "edits")
+    heard = rp.select(F.explode(F.array("a", "b")).alias("w")).distinct().select("w", C.heard(F.col("w"), metaphones_of(F.col("w"))).alias("h"))
+    side = lambda c: heard.select(F.col("w").alias(c), F.col("h").alias(f"h{c}"))
+    rows = rp.join(side("a"), "a").join(side("b"), "b")
+    name = C.name_comparison(F.col("ha"), F.col("hb"), F.col("s1_id") % 3 == 0).alias("x")
+    rows = rows.select("s1_id", "cand_id", name, C.number_comparison(F.col("na"), F.col("nb")).alias("y"))
+    out = rows.select("s1_id", "cand_id", "x.*", F.col("y.relation").alias("relation"), F.round("y.log_gap", 6).alias("log_gap"), F.col("y.edits").alias("edits"), F.col("y.first_changed").alias("first_changed"))
+    return out.withColumn("jaccard", F.round("jaccard", 9))
 
 
 def _added_words(rp: DataFrame) -> DataFrame:

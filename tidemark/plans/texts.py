@@ -61,10 +61,10 @@ def normalise_addresses(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").where("lang = 'en'").select(F.explode(X.tokens(F.lower("text"))).alias("w")).distinct()
+    return table(spark, root, "documents").select(F.explode(X.tokens(F.lower("text"))).alias("w")).distinct()
 
 
-_SQL_WORDS = f"words AS (SELECT DISTINCT w FROM (SELECT unnest({_SQL_TOKENS.format('text')}) AS w FROM documents WHERE lang = 'en'))"
+_SQL_WORDS = f"words AS (SELECT DISTINCT w FROM (SELECT unnest({_SQL_TOKENS.format('text')}) AS w FROM documents))"
 _REP = "(a+|b+|c+|d+|e+|f+|g+|h+|i+|j+|k+|l+|m+|n+|o+|p+|q+|r+|s+|t+|u+|v+|w+|x+|y+|z+|0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)"
 
 
@@ -122,7 +122,7 @@ def _name_pairs(spark: SparkSession, root: str) -> DataFrame:
     return n.withColumn("k", F.substring("name", 1, 1)).join(o, "k").select("name", "other")
 
 
-_SQL_NAME_PAIRS = f"{NAMES}, n AS (SELECT DISTINCT name FROM names WHERE id <= 2000), np AS (SELECT a.name, b.name AS other FROM n a JOIN n b ON a.name[1] = b.name[1])"
+_SQL_NAME_PAIRS = f"{NAMES}, n AS (SELECT DISTINCT name FROM names), np AS (SELECT a.name, b.name AS other FROM n a JOIN n b ON a.name[1] = b.name[1])"
 
 
 @query(f"WITH {_SQL_NAME_PAIRS} SELECT name, other, levenshtein(name, other)::INT AS lev, CASE WHEN levenshtein(name, other) <= 5 THEN levenshtein(name, other) ELSE -1 END::INT AS lev5, round(jaro_winkler_similarity(name, other), 6) AS jw FROM np")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import Scratch
+
 
 def read_tsv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """All columns as strings, no quoting, empty fields as empty strings; "NA" and "NULL" are values."""
@@ -35,9 +37,13 @@ def match_counts(truth: DataFrame, anchor: str = "source1_entity_id", matched: s
 
 
 def with_row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """Add row_id, gapless from 0 in a stated order. Ranges are sorted apart; only their sizes reach the driver."""
+    """Add row_id, gapless from 0 in a stated order. Ranges are sorted apart; only their sizes reach the driver.
+
+    The sorted ranges are saved before they are counted: their bounds are sampled, so a second run could deal rows otherwise.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    sizes = dict(ranged.groupBy(F.shiftright("_m", 33).alias("p")).count().collect())
+    ranged = Scratch(df.sparkSession, "rows").save(ranged, "ranged")
+    sizes = dict(ranged.groupBy(F.shiftright("_m", 33).alias("p")).count().collect())  # one number for each range
     before = [0]
     for p in range(max(sizes, default=0)):
         before.append(before[-1] + sizes.get(p, 0))
