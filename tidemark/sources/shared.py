@@ -44,5 +44,12 @@ class Scratch:
     def drop(self, *dfs: DataFrame) -> None:
         """Delete saved tables that no later step reads."""
         for df in dfs:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._tidemark_path)
+
+    def clear(self) -> None:
+        """Delete all saved tables."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
