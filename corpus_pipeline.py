@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, linededup, packing, simhash, substring
-from tidemark.llm.common import Scratch, pick, read, shield, with_key
+from tidemark.llm.common import Scratch, read, shield, with_key
 
 
 def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,8 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hidden, restore = shield(docs)
     keyed = with_key(hidden, scratch)
     others = scratch.save(simhash.near_copies(docs, k=5, least=0.8, scratch=scratch).where("_k <> group").select("_k").distinct(), "others")
-    _, kept = pick(keyed, others)
-    return restore(keyed.join(others, "_k", "left_anti") if kept is None else kept)
+    return restore(keyed.join(others, "_k", "left_anti"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
