@@ -202,27 +202,32 @@ def test_substring_edges(spark, make):
     assert substring.dedup(make([]), digest=True).count() == 0
 
 
-def brute_lines(rows, least_words=8):
-    blank = lambda x: not x.strip(" \t\x0b\x0c\r")
-    one, two, out = set(), set(), {}
+def brute_runs(rows):
+    """For each place (document, line among all, characters): lines of the longest run from there that also starts earlier."""
+    seq = []
     for k, t in rows:
-        if t is None:
-            out[k] = None
-            continue
-        every = t.split("\n")
-        seq = [(i, x) for i, x in enumerate(every) if not blank(x)]
-        gone = set()
-        for a, (i, x) in enumerate(seq):
-            if x in one and len([w for w in x.replace("\t", " ").split(" ") if w]) >= least_words:
-                gone.add(i)
-            one.add(x)
-            if a + 1 < len(seq):
-                pair = (x, seq[a + 1][1])
-                if pair in two:
-                    gone |= {i, seq[a + 1][0]}
-                two.add(pair)
-        out[k] = "\n".join(x for i, x in enumerate(every) if i not in gone)
-    return out
+        if t is not None:
+            seq += [(k, i, x) for i, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\x0c\r")]
+    places = {}
+    for p, (_, _, x) in enumerate(seq):
+        places.setdefault(x, []).append(p)
+
+    def common(p, q):
+        n = 0
+        while p + n < len(seq) and seq[p + n][0] == seq[p][0] and seq[q + n][0] == seq[q][0] and seq[p + n][2] == seq[q + n][2]:
+            n += 1
+        return n
+
+    return seq, [max((common(p, q) for q in places[x] if q < p), default=0) for p, (_, _, x) in enumerate(seq)]
+
+
+def brute_lines(rows, min_chars=linededup.MIN_CHARS):
+    seq, longest = brute_runs(rows)
+    gone = set()
+    for p, n in enumerate(longest):
+        if n and sum(len(x) for _, _, x in seq[p : p + n]) >= min_chars:
+            gone |= {(k, i) for k, i, _ in seq[p : p + n]}
+    return {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in rows}
 
 
 def test_lines_equal_brute_force(spark, make):
@@ -232,11 +237,27 @@ def test_lines_equal_brute_force(spark, make):
     assert got == brute_lines(list(enumerate(texts)))
 
 
+def test_whole_length_of_a_run_decides(spark, make):
+    """Short lines go where their run from one earlier place is long enough, whatever two of its lines are."""
+    few = "abcdefgh"
+    texts = ["\n".join(rnd.choice(few) * rnd.randint(1, 2) for _ in range(rnd.randint(1, 90))) for _ in range(25)]
+    texts += [t + "\nend" for t in texts[:6]] + ["\n".join(t.split("\n")[3:40]) for t in texts[:12]] + ["\n".join(["x"] * 70), "\n".join(["x"] * 200)]
+    for least in (1, 5, 12, 50):
+        got = {r.doc_id: r.text for r in linededup.dedup(make(texts), min_chars=least).collect()}
+        assert got == brute_lines(list(enumerate(texts)), least)
+    # two lines of a repeated run, and a run put together from two earlier ones, stay
+    parts = ["one of a pair", "the other of a pair", "a third line that follows", "and a fourth one"]
+    texts = ["\n".join(parts), "\n".join(parts[:2]) + "\nown", "\n".join(["first", *parts[:2]]), "\n".join([parts[0], "z", parts[1], parts[2]]), "\n".join(parts)]
+    got = [r.text for r in linededup.dedup(make(texts)).orderBy("doc_id").collect()]
+    assert got == [*texts[:4], ""] == list(brute_lines(list(enumerate(texts))).values())
+
+
 def test_line_runs_are_maximal(spark, make):
     head = [f"line {i}" for i in range(37)]
     texts = ["\n".join(head), "own\n" + "\n".join(head[5:30]) + "\nend"]
     runs = linededup.runs(make(texts)).collect()
     assert [(r._k, r.first_line, r.n_lines, r.copy_of) for r in runs] == [(1, 1, 25, 0)]
+    assert runs[0].n_chars == sum(map(len, head[5:30]))
 
 
 def test_line_edges(spark, make):

@@ -6,8 +6,6 @@ import ctypes
 import gc
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import Scratch, shared_dir  # noqa: F401  (used by the operators)
+
 #: Texts handed to one pass over an Arrow batch stay below about so many characters.
 SLICE_CHARS = 4_000_000
 
@@ -23,46 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may leave it unset; it then gets a temporary folder of its own.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return d
-
-
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder; they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tidemark_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Delete saved tables that no later step reads."""
-        for df in dfs:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shield(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """Documents whose columns besides doc_id and text have names that clash with nothing, and what gives the names back.
 
@@ -184,19 +144,23 @@ def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return spread(df).mapInArrow(run, spec)
 
 
-#: Document keys that may be broadcast to pick documents out of a scan; with more, the documents are shuffled.
-BROADCAST_KEYS = 1_000_000
+#: Bits of the filter that `pick` broadcasts: 2 ** (FILTER_BITS - 6) rows of two longs at most, whatever the number of keys.
+FILTER_BITS = 25
 
 
-def pick(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(documents whose _k is in ids, the others): by broadcast if the ids are few, checked by count.
+def pick(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents whose _k is in ids, and some others; the rest), so that a join by _k need not move all texts.
 
-    With more ids the first holds all documents and the second is None: a join by _k has to tell them apart.
+    Keys are hashed to the bits of a filter of fixed size. The more keys there are the more other documents it lets
+    through, up to all of them; the join that follows tells them apart. The plan is the same for any number of keys.
     """
-    if ids.count() <= BROADCAST_KEYS:
-        small = F.broadcast(ids.select("_k"))
-        return docs.join(small, "_k", "left_semi"), docs.join(small, "_k", "left_anti")
-    return docs, None
+    at = F.shiftrightunsigned(F.xxhash64("_k"), 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(_b & 63 as int))")
+    told = ids.select(at.alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    marked = docs.withColumn("_b", at).withColumn("_w", F.shiftright("_b", 6)).join(F.broadcast(told), "_w", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    marked = marked.withColumn("_maybe", maybe).drop("_b", "_w", "_bits")
+    return marked.where("_maybe").drop("_maybe"), marked.where("NOT _maybe").drop("_maybe")
 
 
 _owner: str | None = None

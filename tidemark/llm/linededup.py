@@ -3,21 +3,27 @@
 All texts are one sequence of lines. The id of a line is the place of its first occurrence, and prefix doubling ranks
 the suffixes: after round r suffixes that agree on their first 2^r lines (within their text) share a rank, which is the
 place of the first of them. A round joins the ranks at distance 2^(r-1) and groups the pairs. Suffixes whose rank is
-theirs alone agree with no other on that many lines; they are settled and leave. What is left after a round are the
-longest-common-prefix intervals of that length; the rounds end when none is left, so their number is the logarithm of
-the longest repeated run.
+theirs alone agree with no other on that many lines; they are settled and leave, and the rounds end when none is left,
+so their number is the logarithm of the longest repeated run.
 
-A run of lines that also starts earlier is a later copy. It goes if it has at least ``min_lines`` lines, or is a single
-line of at least ``min_words`` words. A run whose length isn't a power of two is the union of overlapping ones.
+The rounds are then walked down again. A suffix enters at the longest power of two that it shares with an earlier one,
+and every step of 2^s lines asks whether the longest-common-prefix interval it is in has a narrower one that is 2^s lines
+deeper and still holds an earlier suffix. What comes out is, for each place, the length of the longest run of lines that starts
+there and also starts earlier. All members of an interval of some depth are in one group of a step, with the interval's first
+suffix added to them, so a step is one group-by, and a suffix is in one group of each step.
+
+Such a run goes if all its lines together have at least ``min_chars`` characters: its whole length decides, so short lines go
+within a long run and stay outside of one.
 
 Places are longs (document key, line), so all groups are hash aggregates that combine before they shuffle; a line
 that a third of the texts hold is one row per task there, and a join side that Spark splits.
 
-Lines are what stands between newlines. Lines without a word are no part of the sequence and always stay.
+Lines are what stands between newlines. Lines without a word are no part of the sequence, have no characters here, and always stay.
 
 Cases: null text stays null and has no lines; an empty text is one line without a word. Rows are ordered by doc_id,
-nulls first, then by text hash where ids repeat; equal rows count as one document and get equal results. Columns besides
-doc_id and text pass through `dedup` unchanged; n_lines and n_removed replace columns of those names.
+nulls first, then by text hash where ids repeat; equal rows count as one document and get equal results. No rows give no rows.
+A run may overlap the earlier one. Columns besides doc_id and text pass through `dedup` unchanged, whatever their names; n_lines and
+n_removed replace columns of those names. A text has at most 2 ** LINE_BITS lines with a word; with more, the job stops.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, pick, shield, spread, with_key
 
-MIN_LINES = 2
-MIN_WORDS = 8
+#: Characters that a run of repeated lines has to have to be taken out.
+MIN_CHARS = 50
 MAX_ROUNDS = 30
 #: A line's number in its text is below 2 ** LINE_BITS.
 LINE_BITS = 27
@@ -44,89 +50,112 @@ def has_word(line: Column) -> Column:
     return F.trim(_plain(line)) != ""
 
 
-def n_words(line: Column) -> Column:
-    return F.size(F.array_remove(F.split(_plain(line), " "), ""))
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """(p, at, line) of every line with a word: p is its place in the sequence, ``at`` its number among all lines of its text."""
     told = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     kept = F.filter(told, lambda x: has_word(x["line"]))
     rows = spread(docs).select("_k", F.posexplode(kept).alias("i", "x"))
-    return rows.select((F.shiftleft("_k", LINE_BITS) + F.col("i")).alias("p"), "x.at", "x.line")
+    place = F.when(F.col("i") < 1 << LINE_BITS, F.shiftleft("_k", LINE_BITS) + F.col("i")).otherwise(F.raise_error(F.lit(f"a text has more than 2 ** {LINE_BITS} lines")))
+    return rows.select(place.cast("long").alias("p"), "x.at", "x.line")
+
+
+def _shared(rows: DataFrame, scratch: Scratch, *by: str) -> DataFrame:
+    """(by, first) of groups with more than one place. Saved, so that a join with them can split what is hot."""
+    some = rows.groupBy(*by).agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last")
+    return scratch.save(some, "shared")
 
 
-def _repeated(rows: DataFrame, *by: str) -> DataFrame:
-    """(by, first) of groups with more than one place."""
-    return rows.groupBy(*by).agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last")
+def _join(rows: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join at any size: both sides grow with the corpus."""
+    return rows.join(other.hint("merge"), on, how)
 
 
 def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame]]:
-    """[(n, ranks)] for n = 1, 2, 4, ...: (p, r) of the places whose next n lines occur elsewhere too; r is the first.
+    """[(n, ranks)] for n = 1, 2, 4, ...: (p, r, w) of the places whose next n lines occur elsewhere too.
 
-    The first table also has ``at`` and ``w``, the line's words. ``docs`` has _k and text.
+    r is the first such place, w the characters of the n lines. The first table also has ``at``. ``docs`` has _k and text.
     """
     every = scratch.save(
-        lines(docs).select("p", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), n_words(F.col("line")).alias("w")), "lines"
+        lines(docs).select("p", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").cast("long").alias("w")), "lines"
     )
-    now = scratch.save(every.join(_repeated(every, "h", "g"), ["h", "g"]).select("p", F.col("first").alias("r"), "at", "w").distinct(), "ranks")
-    scratch.drop(every)
+    shared = _shared(every, scratch, "h", "g")
+    now = scratch.save(_join(every, shared, ["h", "g"]).groupBy("p").agg(F.min("first").alias("r"), F.min("at").alias("at"), F.min("w").alias("w")), "ranks")
+    scratch.drop(every, shared)
     out, n = [(1, now)], 1
     for _ in range(MAX_ROUNDS):
-        ahead = now.select((F.col("p") - n).alias("p"), F.col("r").alias("s"))
-        pairs = scratch.save(now.select("p", "r").join(ahead, "p"), "pairs")
+        ahead = now.select((F.col("p") - n).alias("p"), F.col("r").alias("s"), F.col("w").alias("v"))
+        pairs = scratch.save(_join(now.select("p", "r", "w"), ahead, "p").select("p", "r", "s", (F.col("w") + F.col("v")).alias("w")), "pairs")
         n *= 2
-        now = scratch.save(pairs.join(_repeated(pairs, "r", "s"), ["r", "s"]).select("p", F.col("first").alias("r")), "ranks")
-        scratch.drop(pairs)
+        shared = _shared(pairs, scratch, "r", "s")
+        now = scratch.save(_join(pairs, shared, ["r", "s"]).select("p", F.col("first").alias("r"), "w"), "ranks")
+        scratch.drop(pairs, shared)
         if now.isEmpty():
+            scratch.drop(now)
             break
         out.append((n, now))
     return out
 
 
-def deleted_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def longest_runs(ranks: list[tuple[int, DataFrame]], scratch: Scratch) -> DataFrame:
+    """(p, l, c, w) of every place whose line also stands earlier: l is the length of the longest run from there that also starts earlier.
+
+    c is where the first such run starts, w are the run's characters. ``ranks`` are `suffix_ranks`.
+    """
+    state = None
+    for n, now in reversed(ranks):
+        entering = now.where("r < p").select("p", F.lit(n).cast("long").alias("l"), F.col("r").alias("c"), "w")
+        if state is None:
+            state = scratch.save(entering, "runs")
+            continue
+        # the first suffix of an interval is no member of it as far as its own run goes, but it may be the earlier one
+        heads = state.groupBy("l", "c").agg(F.lit(True).alias("head")).select(F.col("c").alias("p"), "l", "c", F.lit(0).cast("long").alias("w"), "head")
+        members = state.withColumn("head", F.lit(False)).unionByName(heads).withColumn("q", F.col("p") + F.col("l"))
+        ahead = now.select(F.col("p").alias("q"), F.col("r").alias("x"), F.col("w").alias("v"))
+        deeper = scratch.save(_join(members, ahead, "q").drop("q"), "deeper")
+        shared = _shared(deeper, scratch, "l", "c", "x")
+        grown = _join(deeper.where("NOT head"), shared, ["l", "c", "x"]).where("first < p").select(
+            "p", (F.col("l") + n).alias("l"), F.col("first").alias("c"), (F.col("w") + F.col("v")).alias("w")
+        )
+        best = F.max(F.struct("l", "c", "w")).alias("b")
+        after = scratch.save(state.unionByName(grown).unionByName(entering).groupBy("p").agg(best).select("p", "b.*"), "runs")
+        scratch.drop(state, deeper, shared)
+        state = after
+    return state
+
+
+def deleted_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
     """(_k, gone): for each document that loses lines, their numbers among all its lines."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines has to be a power of two")
-    covers = None
-    for n, ranks in suffix_ranks(docs, scratch):
-        copies = ranks.where("r < p")
-        if n == 1:
-            enough = F.lit(min_lines == 1) | (F.col("w") >= min_words)
-            covers = copies.select("p", "at", F.when(enough, F.col("p")).otherwise(-1).alias("e"))
-        elif n >= min_lines:
-            covers = covers.unionByName(copies.select("p", F.lit(None).cast("int").alias("at"), (F.col("p") + (n - 1)).alias("e")))
-    ends = covers.groupBy("p").agg(F.max("e").alias("e"), F.max("at").alias("at")).withColumn("_k", F.shiftright("p", LINE_BITS))
+    ranks = suffix_ranks(docs, scratch)
+    found = longest_runs(ranks, scratch)
+    ends = _join(found, ranks[0][1].select("p", "at"), "p").select("p", "at", F.when(F.col("w") >= min_chars, F.col("p") + F.col("l") - 1).alias("e"), F.shiftright("p", LINE_BITS).alias("_k"))
     reach = F.max("e").over(Window.partitionBy("_k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    return ends.withColumn("reach", reach).where("reach >= p").groupBy("_k").agg(F.collect_list("at").alias("gone"))
+    gone = ends.withColumn("reach", reach).where("reach >= p").groupBy("_k").agg(F.collect_list("at").alias("gone"))
+    out = scratch.save(gone, "gone")
+    scratch.drop(found, *[df for _, df in ranks])
+    return out
 
 
 def runs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(_k, first_line, n_lines, copy_of): maximal runs of later copies, from the longest rank of each place.
+    """(_k, first_line, n_lines, n_chars, copy_of): maximal runs of later copies, those that lie in no other.
 
-    ``copy_of`` is the document key of the first occurrence of the run's first lines.
+    ``copy_of`` is the document key of the run's first occurrence.
     """
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
-    found = None
-    for n, ranks in suffix_ranks(with_key(docs.select("doc_id", "text"), scratch), scratch):
-        rows = ranks.where("r < p").select("p", "r", F.lit(n).alias("n"))
-        found = rows if found is None else found.unionByName(rows)
-    best = found.groupBy("p").agg(F.max("n").alias("n"), F.max_by("r", "n").alias("r"))
+    found = longest_runs(suffix_ranks(with_key(docs.select("doc_id", "text"), scratch), scratch), scratch)
     w = Window.partitionBy(F.shiftright("p", LINE_BITS)).orderBy("p")
-    before = F.max(F.col("p") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = best.withColumn("new", (F.coalesce(before, F.lit(-1)) <= F.col("p")).cast("int"))
-    islands = marked.withColumn("run", F.sum("new").over(w)).withColumn("_k", F.shiftright("p", LINE_BITS))
-    return islands.groupBy("_k", "run").agg(
-        F.min("p").alias("p"), F.max(F.col("p") + F.col("n")).alias("e"), F.min_by("r", "p").alias("r")
-    ).select("_k", F.col("p").bitwiseAND((1 << LINE_BITS) - 1).alias("first_line"), (F.col("e") - F.col("p")).alias("n_lines"), F.shiftright("r", LINE_BITS).alias("copy_of"))
+    inside = F.coalesce(F.max(F.col("p") + F.col("l")).over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("p") + F.col("l"), F.lit(False))
+    return found.withColumn("_in", inside).where("NOT _in").select(
+        F.shiftright("p", LINE_BITS).alias("_k"), F.col("p").bitwiseAND((1 << LINE_BITS) - 1).alias("first_line"), F.col("l").alias("n_lines"),
+        F.col("w").alias("n_chars"), F.shiftright("c", LINE_BITS).alias("copy_of"),
+    )
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs taken out of ``text``, plus n_lines and n_removed."""
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
     hidden, restore = shield(docs)
     keyed = with_key(hidden, scratch)
-    gone = scratch.save(deleted_lines(keyed.select("_k", "text"), scratch, min_lines, min_words), "gone")
+    gone = deleted_lines(keyed.select("_k", "text"), scratch, min_chars)
     parts = F.split("text", "\n")
 
     def without(x: Column) -> Column:
@@ -134,11 +163,9 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
         return F.array_join(F.transform(left, lambda j: x[j]), "\n")
 
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(parts), without)[0])
-    # only the texts that lose lines move
+    # only the texts that lose lines move, and the few that a filter of bounded size can't tell from them
     touched, rest = pick(keyed, gone)
-    rows = touched.join(gone, "_k", "left")
-    if rest is not None:
-        rows = rows.unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
+    rows = _join(touched, gone, "_k", "left").unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
     rows = rows.withColumns({
         "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),

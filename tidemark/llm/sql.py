@@ -24,25 +24,32 @@ FROM told GROUP BY conv_id
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = f"list_filter(string_split(translate(coalesce(text, ''), {_WS}, '     '), ' '), lambda w: w <> '')"
 
+_PLAIN_LINE = "trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '))"
+
+# runs grow by a line in each step; r is the first place with the same l lines
 _OP6 = f"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
 ), every AS (
   SELECT doc_id, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM split
-), told AS (
-  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i,
-    len(list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '')) AS w
-  FROM every WHERE trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> ''
-), ahead AS (
-  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next_line FROM told
+), seq AS (
+  SELECT doc_id, pos, line, row_number() OVER (ORDER BY doc_id, pos) AS p, sum(length(line)) OVER (ORDER BY doc_id, pos) AS upto FROM every WHERE {_PLAIN_LINE} <> ''
+), one AS (
+  SELECT doc_id, p, min(p) OVER (PARTITION BY line) AS r FROM seq QUALIFY count(*) OVER (PARTITION BY line) > 1
+), grown AS (
+  SELECT 1 AS l, doc_id, p, r FROM one
+  UNION ALL
+  SELECT l + 1, doc_id, p, r FROM (
+    SELECT g.l, g.doc_id, g.p, min(g.p) OVER (PARTITION BY g.r, o.r) AS r, count(*) OVER (PARTITION BY g.r, o.r) AS n
+    FROM grown g JOIN one o ON o.p = g.p + g.l AND o.doc_id = g.doc_id) WHERE n > 1
+), longest AS (
+  SELECT p, max(l) AS l FROM grown WHERE r < p GROUP BY p
+), heavy AS (
+  SELECT a.p, a.p + g.l - 1 AS e FROM longest g JOIN seq a ON a.p = g.p JOIN seq z ON z.p = g.p + g.l - 1 WHERE z.upto - a.upto + length(a.line) >= 50
 ), marked AS (
-  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND w >= 8 AS one,
-    next_line IS NOT NULL AND row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1 AS two
-  FROM ahead
-), gone AS (
-  SELECT doc_id, pos, one OR two OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM marked
+  SELECT s.doc_id, s.pos, coalesce(max(e) OVER (PARTITION BY s.doc_id ORDER BY s.p) >= s.p, false) AS gone FROM seq s LEFT JOIN heavy h ON h.p = s.p
 ), kept AS (
-  SELECT e.doc_id, e.pos, e.line, coalesce(g.gone, false) AS gone FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos
+  SELECT e.doc_id, e.pos, e.line, coalesce(m.gone, false) AS gone FROM every e LEFT JOIN marked m ON e.doc_id = m.doc_id AND e.pos = m.pos
 )
 SELECT d.doc_id, count(k.pos) AS n_lines, count(*) FILTER (WHERE k.gone) AS n_removed,
   sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE NOT k.gone), '')) AS kept_sha256
