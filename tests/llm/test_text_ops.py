@@ -124,8 +124,32 @@ def test_packing_round_trip(spark, make):
             assert offset == at
             at += length
         assert at <= 2048
-    seqs = {r.sequence_id: r.ids for r in packing.sequences(docs, packing.pack(docs)).collect()}
-    assert sum(map(len, seqs.values())) == sum(map(len, ids))
+    seqs = [r.ids for r in packing.sequences(docs).collect()]
+    assert sum(map(len, seqs)) == sum(map(len, ids)) and max(map(len, seqs)) <= 2048
+
+
+def test_sequences_of_repeated_rows_and_null_ids(spark, make):
+    """Every row's tokens are in one sequence once, whatever ids repeat."""
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (1, "gamma"), (None, "delta"), (None, "delta"), (None, None), (2, "alpha beta")]
+    t = Tokenizer.from_file(PATH)
+    want = sorted([*t.encode(x or "", add_special_tokens=False).ids, 0] for _, x in rows)
+    got = []
+    for r in packing.sequences(make(rows)).collect():
+        ids = r.ids
+        while ids:
+            got.append(ids[: ids.index(0) + 1])
+            ids = ids[len(got[-1]) :]
+    assert sorted(got) == want
+
+
+def test_packing_tokens_equal_library(monkeypatch):
+    t, mine = Tokenizer.from_file(PATH), packing.Tokens(PATH)
+    monkeypatch.setattr(packing, "CHUNK", 300)
+    monkeypatch.setattr(packing, "KEYS", 60)
+    alphabet = ["alpha", "Beta,", "it's", "we'll.", "x1y22", "...", "(a)", "ünï", "ÀÉ!", "a\u00a0b", "\x1c", "\x85", "日本", "<|endoftext|>", "<|", "İ", "e\u0301", "a" * 300, "-- ", "\t\n", "'s", "ſ", "ß"]
+    for k in range(60):
+        texts = ["".join(rnd.choice(alphabet[: 13 if k % 2 else None]) + rnd.choice([" ", "\n", "", "  "]) for _ in range(rnd.randint(0, 60))) for _ in range(12)] + [None, "", " "]
+        assert mine.join(texts) == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
 def test_packing_edges(spark, make):

@@ -15,28 +15,60 @@ documents longer than that are cut. Rows that repeat a doc_id are documents of t
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, claim, env_single_thread, map_texts
-from tidemark.llm.bpe import LATIN_END, default_vocabulary, split_space
+from tidemark.llm.bpe import LATIN_END, byte_symbols, default_vocabulary, vocabulary
 
 CAPACITY = 2048
-#: Pieces of text whose ids a worker keeps, about 200 bytes each; a full cache is emptied.
-CACHE = 500_000
+#: Different pieces whose ids a worker keeps, and bytes of words it keeps beside; what is full is emptied.
+KEYS, CACHE_BYTES = 1_000_000, 64 << 20
+#: What an entry takes besides its characters and ids, and bytes up to which a piece is found by its hash.
+ENTRY_BYTES, KEEP_CHARS = 170, 64
+#: Bytes of text that are looked at together.
+CHUNK = 2 << 20
 #: The id that closes a document.
 CLOSE = b"\x00\x00\x00\x00"
+#: A character beyond the Latin letters whose case and normal form are the same everywhere.
+_BEYOND = re.compile(f"[^\x00-{chr(ord(LATIN_END) - 1)}]").search
+#: Signs that are a word by themselves where they stand behind letters, at the end of a piece.
+ENDS = ".,;:!?)]"
+_SPACES = b" \t\n\x0b\x0c\r"
+_SPACE = re.compile(b"[" + _SPACES + b"]").search
+
+
+class Cache(dict):
+    """A dictionary that is emptied once it takes more than so many bytes; long keys are not kept."""
+
+    def __init__(self, most: int | None = None):
+        self.most, self.bytes = CACHE_BYTES if most is None else most, 0
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        if max(map(len, found), default=0) > KEEP_CHARS:
+            found = {k: v for k, v in found.items() if len(k) <= KEEP_CHARS}
+        self.update(found)
+        self.bytes += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+        if self.bytes > self.most:
+            self.clear()
+            self.bytes = 0
 
 
 class Tokens:
     """Token ids as little-endian bytes, by the tokenizers library, cached by space-free piece of text.
 
-    The vocabulary drops white space before it looks for words, so a text's ids are those of its pieces in a row.
+    The vocabulary drops white space before it looks for words, so a text's ids are those of its pieces in a row. Texts of Latin
+    letters are looked at as arrays of bytes: pieces are found and hashed (64 bits) together, each different one is looked up once in a
+    chunk, and ids are gathered from one array. A new piece is cut into words by the vocabulary's own pattern, and new words go to the
+    library's merges as they are, past the normaliser, which has nothing to do there. Other texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,27 +78,122 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        spec = json.loads(open(path, encoding="utf-8").read())
+        cut = spec.get("pre_tokenizer") or {}
+        steps = [x.get("type") for x in cut.get("pretokenizers", ())]
+        #: The pattern of words, if the vocabulary is of the kind that `Vocabulary` describes.
+        self.words = vocabulary(path).words if spec["model"].get("end_of_word_suffix") and steps == ["Split", "ByteLevel"] and cut["pretokenizers"][0]["invert"] else None
+        self.symbols = byte_symbols()
+        self.known = Cache()
+        g = np.random.default_rng(2048)
+        self.byte = g.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = np.array([0, *(pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(KEEP_CHARS))], np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[list(_SPACES)] = True
+        self.byte[self.space] = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.n, self.store = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as the library finds them."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spell(self, word: str) -> bytes:
+        """Ids of a lower-case Latin word."""
+        plain = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(plain)], "<u4").tobytes()
+
+    def find(self, pieces: list[str]) -> list[bytes]:
+        """Ids of lower-case Latin pieces."""
+        known, new, out = self.known, {}, []
+        for c in pieces:
+            if c.isalpha():
+                words = (c,)
+            else:
+                core = c.rstrip(ENDS)
+                words = (core, c[len(core) :]) if core.isalpha() else self.words.findall(c)
+            ids = b""
+            for w in words:
+                x = known.get(w) or new.get(w)
+                if x is None:
+                    x = new[w] = self.spell(w)
+                ids += x
+            out.append(ids)
+        known.keep(new)
+        return out
+
+    def chunk(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first byte of each piece, end of each piece's ids) of lower-case Latin text."""
+        b = np.frombuffer(data, np.uint8)
+        space = self.space[b]
+        here = np.arange(len(b), dtype=np.int32)
+        place = here - np.maximum.accumulate(np.where(space, here, np.int32(-1)))  # from 1 in each piece, 0 between
+        starts = np.flatnonzero(place == 1)
+        stops = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+        if not len(starts):
+            return np.empty(0, "<u4"), starts, starts
+        size = stops - starts
+        h = np.add.reduceat(self.byte[b] * self.power[np.minimum(place, KEEP_CHARS)], starts)
+        for i in np.flatnonzero(size > KEEP_CHARS).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]])
+        each, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > KEYS:
+            self.forget()
+        pos = np.searchsorted(self.keys, each)
+        new = np.ones(len(each), bool)
+        inside = pos < len(self.keys)
+        new[inside] = self.keys[pos[inside]] != each[inside]
+        if new.any():
+            found = self.find([data[i:j].decode() for i, j in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            at = len(self.store) + np.cumsum(n) - n
+            self.store = np.concatenate([self.store, np.frombuffer(b"".join(found), "<u4")])
+            self.keys, self.at, self.n = (np.insert(old, pos[new], more) for old, more in ((self.keys, each[new]), (self.at, at), (self.n, n)))
+            pos = np.searchsorted(self.keys, each)
+        n = self.n[pos][inverse]
+        ends = np.cumsum(n)
+        ids = self.store[np.repeat(self.at[pos][inverse] - ends + n, n) + np.arange(ends[-1])]
+        return ids, starts, ends
 
-    @staticmethod
-    def lower(text: str) -> str:
-        """Lower case ahead of the vocabulary's own, so that fewer pieces differ, where that changes no id.
+    def join(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; lower case is taken ahead of the vocabulary's own, so that fewer pieces differ.
 
         Not beside what looks like a special token, and not outside Latin letters, where case depends on neighbours or marks.
         """
-        return text if "<|" in text or "\u0130" in text or not (text.isascii() or max(text) < LATIN_END) else text.lower()
-
-    def join(self, texts: list[str | None]) -> list[bytes]:
-        split = [split_space(self.lower(t)) if t else [] for t in texts]
-        all_ = set().union(*split)
-        new = [c for c in all_ if c not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(all_)
-        for a in range(0, len(new), 20_000):
-            got = self.tokenizer.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)
-            self.known.update(zip(new[a : a + 20_000], (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        out: list[bytes] = [b""] * len(texts)
+        easy, other = [], []
+        for i, t in enumerate(texts):
+            if t:
+                plain = self.words is not None and "<|" not in t and "\u0130" not in t and (t.isascii() or not _BEYOND(t))
+                (easy if plain else other).append(i)
+        for i, ids in zip(other, self.library([texts[i] for i in other]), strict=True):
+            out[i] = ids
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            ids, starts, ends = self.chunk(b"\n".join([x for _, x in held]))
+            cuts = np.cumsum([0, *(len(x) + 1 for _, x in held)])
+            upto = np.concatenate([[0], ends])[np.searchsorted(starts, cuts)].tolist()
+            for (i, _), a, b in zip(held, upto, upto[1:], strict=False):
+                out[i] += ids[a:b].tobytes()
+
+        for i in easy:
+            data = texts[i].lower().encode()
+            while data:
+                # a longer text is cut at white space
+                cut = len(data) if len(data) <= CHUNK else (m.start() if (m := _SPACE(data, CHUNK)) else len(data))
+                held.append((i, data[:cut]))
+                size += cut
+                data = data[cut:]
+                if size >= CHUNK:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -195,10 +322,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, scr
     return place(scratch.save(pieces(docs, path, capacity), "pieces"), scratch, capacity)
 
 
-def sequences(docs: DataFrame, placed: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(sequence_id, ids): the packed token sequences themselves, for a training job to read."""
-    found = pieces(docs, path, capacity, with_ids=True).select("doc_id", "piece", "ids_crc32", "ids")
-    return (
-        placed.join(found, ["doc_id", "piece", "ids_crc32"]).groupBy("sequence_id")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
-    )
+def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
+    """(sequence_id, ids): the packed token sequences themselves, for a training job to read.
+
+    Pieces carry their ids to their places, so rows that repeat a doc_id or a text, and null ids, are each in one sequence once.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "sequences")
+    placed = place(scratch.save(pieces(docs, path, capacity, with_ids=True), "pieces"), scratch, capacity)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return placed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
