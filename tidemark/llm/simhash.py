@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, claim, map_texts, with_key
+from tidemark.llm.common import Scratch, claim, map_texts, pick, shield, with_key
 from tidemark.llm.components import components
 
 SEED = 42
@@ -378,11 +378,14 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
     placed = scratch.save(placed, "placed")
     several = placed.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     reps = scratch.save(placed.join(several, "cluster").select("node", "cluster", F.col("rep").alias("_k")), "reps")
+    scratch.drop(placed, fps)
 
     def sets(cols: dict) -> dict:
         return {"node": cols["node"], "cluster": cols["cluster"], "grams": [shingles(t, k).tobytes() for t in cols["text"]]}
 
-    chosen = keyed.select("_k", "text").join(reps, "_k").dropDuplicates(["_k"])
+    # only texts of clusters move, and the few that a filter of bounded size can't tell from them
+    touched, _ = pick(keyed.select("_k", "text"), reps)
+    chosen = touched.join(reps.hint("merge"), "_k").dropDuplicates(["_k"])
     grams = scratch.save(map_texts(chosen.select("node", "cluster", "text"), sets, "node long, cluster long, grams binary"), "shingles")
     parts = F.ceil(F.sum(F.length("grams") + TEXT_BYTES) / block).cast("int").alias("parts")
     large = grams.groupBy("cluster").agg(parts).where("parts > 1")  # at most one row for each block of bytes
@@ -397,7 +400,24 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
 
     linked = cut.select("node", "cluster", "low", "high", "grams").groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long")
     roots = components(linked, scratch)
+    scratch.drop(grams, reps)
     named = distinct.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min("rep").alias("group"))
     groups = scratch.save(named.join(first, "root").select("node", "group"), "groups")
+    scratch.drop(distinct)
     return rows.join(groups, "node").select("doc_id", "_k", "group")
+
+
+def keep_first(docs: DataFrame, k: int = 5, least: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with the first document alone of each group of `near_copies`; rows that are equal in doc_id and text all stay.
+
+    Cases: texts without a word are one group. Null ids come first. No rows give no rows; other columns pass through, whatever their names.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "keepfirst")
+    hidden, restore = shield(docs)
+    keyed = with_key(hidden, scratch)
+    inner = Scratch(docs.sparkSession, "nearcopies")
+    others = scratch.save(near_copies(docs, k, least, scratch=inner).where("_k <> group").select("_k").distinct(), "others")
+    inner.clear()
+    touched, rest = pick(keyed, others)
+    return restore(rest.unionByName(touched.join(others.hint("merge"), "_k", "left_anti")))
