@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, linededup, packing, simhash, substring
-from tidemark.llm.common import Scratch, read, shield, with_key
+from tidemark.llm.common import Scratch, read, shield
 
 
 def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,11 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard index 0.8) the first document."""
-    scratch = Scratch(spark, "neardedup")
-    hidden, restore = shield(docs)
-    keyed = with_key(hidden, scratch)
-    others = scratch.save(simhash.near_copies(docs, k=5, least=0.8, scratch=scratch).where("_k <> group").select("_k").distinct(), "others")
-    return restore(keyed.join(others, "_k", "left_anti"))
+    return simhash.keep_first(docs, k=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
