@@ -179,18 +179,21 @@ def test_substring_equals_brute_force(spark, make):
 
 
 def test_index_is_incremental_and_compacts(spark, make):
-    texts = corpus()
-    docs = make(texts)
+    """A table in three calls on one index, each against all that came before, whatever the ids; and runs that are merged on the way."""
+    shared = prose(50)
+    texts = corpus() + [prose(20) + " " + shared + " " + prose(9) for _ in range(8)] + ["x y " * 40, "z " * 19, prose(20)]
+    rnd.shuffle(texts)
+    rows = [(1000 - i, t) for i, t in enumerate(texts[:30])] + [(i, t) for i, t in enumerate(texts[30:50])] + [(i + 2000, t) for i, t in enumerate(texts[50:])]
+    parts = [sorted(rows[:30]), sorted(rows[30:50]), sorted(rows[50:])]
+    want = brute_windows([r for part in parts for r in part])
     index = substring.FingerprintIndex(Scratch(spark, "t"), buckets=4, fanout=2)
-    for lo in range(0, len(texts), 10):
-        index.add(docs.where(f"doc_id >= {lo} AND doc_id < {lo + 10}"))
-        assert all(len(level) < 2 for level in index.levels)
-    one = substring.FingerprintIndex(Scratch(spark, "t"), buckets=4)
-    one.add(docs)
-    rows = lambda x: {r.t: sorted(r.anchors) for r in x.hits().collect()}
-    assert rows(index) == rows(one)
+    for part in parts:
+        got = substring.dedup(make(part), batches=3, digest=True, index=index).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {k: want[k] for k, _ in part}
+        for runs in (index.anchors, index.repeated, index.windows):
+            assert all(len(level) < 2 for level in runs.levels)
+    assert len(index.anchors.levels) > 2
     index.close()
-    one.close()
 
 
 def test_substring_edges(spark, make):

@@ -148,13 +148,13 @@ def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 FILTER_BITS = 25
 
 
-def pick(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents whose _k is in ids, and some others; the rest), so that a join by _k need not move all texts.
+def pick(docs: DataFrame, ids: DataFrame, key: str = "_k") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in ids, and some others; the rest), so that a join by the key need not move all rows.
 
     Keys are hashed to the bits of a filter of fixed size. The more keys there are the more other documents it lets
     through, up to all of them; the join that follows tells them apart. The plan is the same for any number of keys.
     """
-    at = F.shiftrightunsigned(F.xxhash64("_k"), 64 - FILTER_BITS)
+    at = F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
     bit = F.expr("shiftleft(1L, cast(_b & 63 as int))")
     told = ids.select(at.alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
     marked = docs.withColumn("_b", at).withColumn("_w", F.shiftright("_b", 6)).join(F.broadcast(told), "_w", "left")
