@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, decide, evidence, learn, metrics, relational, retrieve, setdecode, windows
+from tidemark.functions import distance as D
+from tidemark.operators import audit, decide, evidence, feature_row, learn, metrics, relational, retrieve, setdecode, windows
 from tidemark.sources import tsv
 from tidemark.streaming import ingest
 
@@ -174,6 +175,57 @@ def test_row_ids_are_gapless(spark):
     assert [r.k for r in tsv.page(df, 10, 3).collect()] == [10, 11, 12]
 
 
+def test_row_ids_of_sampled_ranges(spark):
+    """Enough rows that range bounds are sampled: numbers are still gapless and in order."""
+    df = tsv.with_row_ids(spark.range(1_000_000).select(F.xxhash64("id").alias("k")), "k")
+    n, low, high, several = df.agg(F.count("*"), F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")).first()
+    assert (n, low, high, several) == (1_000_000, 0, 999_999, 1_000_000)
+    assert [r.k for r in tsv.page(df, 500_000, 50).collect()] == sorted(r.k for r in tsv.page(df, 500_000, 50).collect())
+    assert df.where("row_id < 1000").agg(F.max("k")).first()[0] < df.where("row_id >= 1000").agg(F.min("k")).first()[0]
+
+
+def test_scores_of_many_probabilities(spark):
+    """The area under the curve over all ranges, with ties across and within them."""
+    g = np.random.default_rng(4)
+    p = np.round(g.random(3000), 3)
+    y = g.random(3000) < p
+    rows = frame(spark, [(float(a), bool(b)) for a, b in zip(p, y)], "p double, label boolean")
+    pos, neg = p[y], p[~y]
+    want = ((pos[:, None] > neg[None]).sum() + 0.5 * (pos[:, None] == neg[None]).sum()) / (len(pos) * len(neg))
+    assert learn.scores(rows).first().auc == pytest.approx(want)
+
+
+def test_feature_row(spark):
+    records = [(1, "S1", "France", "Acme Ltd", "12 Main Street, area one"), (2, "S2", "France", "Acme Limited", "12 Main St, area one"), (3, "S3", "India", "Kare Holdings", None), (4, "S2", "France", "Zenith", "14 Oak Road")]
+    prepared = feature_row.prepared(frame(spark, records, "id long, src string, country string, name string, address string"), ["area one"])
+    pairs = frame(spark, [(1, 2), (1, 3), (1, 4)], "s1_id long, cand_id long")
+    got = {r.cand_id: r for r in feature_row.feature_row(pairs, prepared).collect()}
+    assert len(feature_row.NUMERIC) == 46 and got[2].__fields__ == ["s1_id", "cand_id", *feature_row.NUMERIC, *feature_row.WORDS]
+    a = got[2]
+    assert (a.nd, a.ad, a.rel, a.src, a.name_same_form, a.n_addr_abbr, a.aempty_rec, a.n_num_s1, a.name_freq_s1) == (1, 0, 0, 2, 1, 1, 0, 1, 1)
+    assert a.name_tsr == pytest.approx(D.token_set_ratio("acme ltd", "acme limited")) and a.core_jw == 1.0 and a.sk_jac == 1.0
+    b, c = got[3], got[4]
+    assert (b.nd, b.ad, b.rel, b.aempty_rec, b.addr_ph_jac, b.addr_tsr) == (9, 8, 7, 1, None, None) and (b.name_added, b.name_dropped) == ("holdings kare", "acme")
+    assert (c.nd, c.ad, c.rel, c.n_num_add, c.n_num_drop, c.num_first) == (9, 7, 4, 1, 1, 1) and c.num_logdiff == pytest.approx(np.log(3)) and c.addr_added == "oak road"
+    wide = feature_row.audit_row(pairs, prepared)
+    assert wide.columns == ["s1_id", "cand_id", *feature_row.AUDIT, *feature_row.WORDS]
+
+
+def test_string_row(spark):
+    df = frame(spark, [("acme red", "acme rad", "akm rd", "akm rd", "1 oak st", "acme", "acme rad x", "akm rd", "akm", "oak")], ", ".join(f"{s}{c} string" for s in "ab" for c in ("core", "name", "skel", "snd", "addr")))
+    fields = ("core", "name", "skel", "snd", "addr")
+    r = feature_row.string_row(df, {f: f"a{f}" for f in fields}, {f: f"b{f}" for f in fields}).first()
+    assert r.core_ratio == pytest.approx(D.ratio("acme red", "acme")) and r.addr_partial == pytest.approx(D.partial_ratio("1 oak st", "oak")) and r.core_len_ratio == 0.5
+    assert len(df.columns) + 17 == len(r)
+
+
+def test_vectors_in_blocks_and_chunks(spark):
+    g = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(g.normal(size=(60, 8)))], "id long, vec array<float>")
+    one = {tuple(r) for r in retrieve.nearest(df.where("id < 20"), df, 3).select("query_id", "index_id").collect()}
+    assert len(one) == 60 and one == {tuple(r) for r in retrieve.nearest(df.where("id < 20"), df, 3, blocks=5, chunks=3).select("query_id", "index_id").collect()}
+
+
 def test_vectors(spark):
     g = np.random.default_rng(0).normal(size=(40, 8))
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(g)], "id long, vec array<float>")

@@ -41,11 +41,15 @@ def tfidf(sides: dict[str, DataFrame], max_df: int, min_df: int = 1, binary: boo
     return {s: unit.where(F.col("side") == s).drop("side") for s in sides}
 
 
-def mixed(parts: list[DataFrame]) -> DataFrame:
-    """Postings of several parts of a record as one unit vector: each part weighs the root of its share of the parts it has."""
-    rows = union_all([p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
-    held = rows.groupBy("country", "id").agg(F.count_distinct("_part").alias("_n"))
-    return rows.join(held, ["country", "id"]).withColumn("w", F.col("w") / F.sqrt("_n")).drop("_part", "_n")
+def mixed(parts: list[DataFrame], shares: list[float] | None = None) -> DataFrame:
+    """Postings of several parts of a record as one unit vector: each part weighs the root of its share among the parts that the record has.
+
+    Equal shares by default; with shares of 0.6 and 0.4 the cosine of two records with both parts is 0.6 times that of the first and 0.4 of the second.
+    """
+    shares = shares or [1.0] * len(parts)
+    rows = union_all([p.withColumns({"_part": F.lit(i), "_share": F.lit(float(x))}) for i, (p, x) in enumerate(zip(parts, shares, strict=True))])
+    held = rows.select("country", "id", "_part", "_share").distinct().groupBy("country", "id").agg(F.sum("_share").alias("_all"))
+    return rows.join(held, ["country", "id"]).withColumn("w", F.col("w") * F.sqrt(F.col("_share") / F.col("_all"))).drop("_part", "_share", "_all")
 
 
 def similar(queries: DataFrame, index: DataFrame, threshold: float = 0.02) -> DataFrame:
@@ -56,18 +60,43 @@ def similar(queries: DataFrame, index: DataFrame, threshold: float = 0.02) -> Da
     return scores.where(F.col("score") > threshold)
 
 
-def retrieve(records: DataFrame, anchors: DataFrame, topq: int, tops: int, cap: int = 50, threshold: float = 0.02, missing_rank: int = 99) -> DataFrame:
+def retrieve(records: DataFrame, anchors: DataFrame, topq: int, tops: int, cap: int = 50, threshold: float = 0.02, missing_rank: int = 99, digits: int = 9) -> DataFrame:
     """(s1_id, cand_id, score, rank_q, rank_s) of postings of records and anchors, both directions from one product.
 
-    rank_q is the anchor's place in the record's list of ``topq``, rank_s the record's in the anchor's list of ``tops``.
+    rank_q is the anchor's place in the record's list of ``topq``, rank_s the record's in the anchor's list of ``tops`` (0: that direction is left out).
+    Scores are rounded, so that ties are ties in any order of summation.
     """
-    met = similar(records, anchors, threshold).select(F.col("query_id").alias("cand_id"), F.col("index_id").alias("s1_id"), "score")
+    met = similar(records, anchors, threshold).select(F.col("query_id").alias("cand_id"), F.col("index_id").alias("s1_id"), F.round("score", digits).alias("score"))
     ranked = met.withColumns({"rank_q": rank_of("score", "cand_id", ties=("s1_id",)), "rank_s": rank_of("score", "s1_id", ties=("cand_id",))})
     in_q, in_s = F.col("rank_q") <= topq, F.col("rank_s") <= tops
     kept = ranked.where(in_q | in_s).withColumns({"rank_q": F.when(in_q, F.col("rank_q")).otherwise(missing_rank), "rank_s": F.when(in_s, F.col("rank_s")).otherwise(missing_rank)})
     return kept.withColumn("_c", rank_of("score", "s1_id", ties=("cand_id",))).where(F.col("_c") <= cap).drop("_c")
 
 
+def reranked(records: DataFrame, anchors: DataFrame, names: DataFrame, wide: int = 50, topq: int = 5, threshold: float = 0.05, kind: str = "name_similarity", digits: int = 9) -> DataFrame:
+    """(s1_id, cand_id, score, rank_q): a wide list of each record by its postings, cut to ``topq`` by the mean of that score and the similarity of the names.
+
+    ``names`` has (id, name) of both sides; each distinct pair of names is compared once.
+    """
+    from tidemark.functions import distance as D
+
+    met = similar(records, anchors, threshold).select(F.col("query_id").alias("cand_id"), F.col("index_id").alias("s1_id"), F.round("score", digits).alias("score"))
+    met = met.withColumn("_r", rank_of("score", "cand_id", ties=("s1_id",))).where(F.col("_r") <= wide).drop("_r")
+    named = lambda key, c: names.select(F.col("id").alias(key), F.col("name").alias(c))
+    rows = D.on_distinct(met.join(named("cand_id", "_a"), "cand_id").join(named("s1_id", "_b"), "s1_id"), "_a", "_b", (kind,))
+    rows = rows.withColumn("score", F.round(0.5 * F.col("score") + 0.5 * F.col(f"sim.{kind}"), digits))
+    return rows.withColumn("rank_q", rank_of("score", "cand_id", ties=("s1_id",))).where(F.col("rank_q") <= topq).select("s1_id", "cand_id", "score", "rank_q")
+
+
+def widened(records: DataFrame, anchors: DataFrame, alone: DataFrame, topq: int, more: int, threshold: float = 0.0, digits: int = 9) -> DataFrame:
+    """(s1_id, cand_id, score, rank_q): each record's list of ``topq``, and of ``more`` for the records in ``alone`` (those with one part only, such as no address)."""
+    met = similar(records, anchors, threshold).select(F.col("query_id").alias("cand_id"), F.col("index_id").alias("s1_id"), F.round("score", digits).alias("score"))
+    ranked = met.withColumn("rank_q", rank_of("score", "cand_id", ties=("s1_id",))).where(F.col("rank_q") <= max(topq, more))
+    wide = alone.select(F.col("id").alias("cand_id")).distinct().withColumn("_wide", F.lit(True))
+    most = F.when(F.col("_wide"), more).otherwise(topq)
+    return ranked.join(wide, "cand_id", "left").where(F.col("rank_q") <= most).drop("_wide").select("s1_id", "cand_id", "score", "rank_q")
+
+
 def number_word_keys(numbers: Column, words: Column, first: int = 3) -> Column:
     """``number|word`` of the first numbers and all distinct words of two letters and more without digits."""
     ws = F.filter(F.array_distinct(words), lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]+$"))
@@ -96,11 +125,16 @@ def capped_index(postings: DataFrame, index: DataFrame, share: float = 0.02, lea
     return ranked.where(keep).select(*postings.columns)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+#: Bytes of vectors on each side of a block product.
+BLOCK_BYTES = 32 << 20
+
+
+def nearest(queries: DataFrame, index: DataFrame, k: int, blocks: int | None = None, chunks: int | None = None) -> DataFrame:
     """(query_id, index_id, cosine): exact nearest neighbours of vectors, block against block.
 
-    ``index`` is cut into blocks by a hash of its id; the stated set of queries goes to each block, where one matrix
-    product finds the block's k best; a window keeps the k best of all. Both have (id, vec array<float>).
+    ``index`` is cut into blocks and the stated set of queries into chunks by hashes of their ids, as many as keep each below
+    BLOCK_BYTES; every chunk meets every block, where one matrix product finds the block's k best; a window keeps the k best of all.
+    Both have (id, vec array<float>).
     """
     import numpy as np
     import pyarrow as pa
@@ -120,9 +154,16 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, blocks: int = 8) -> Da
             out[2].append(np.take_along_axis(s, order, axis=1).ravel())
         return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "index_id", "cosine"), out, strict=True)})
 
-    own = index.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    all_ = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = all_.groupBy("_b").cogroup(own.groupBy("_b")).applyInArrow(search, "query_id long, index_id long, cosine double")
+    def parts(df: DataFrame) -> int:
+        size = df.agg(F.sum(F.size("vec") * 8)).first()[0] or 0
+        return max(1, -(-size // BLOCK_BYTES))
+
+    blocks, chunks = blocks or parts(index), chunks or parts(queries)
+    bucket = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = index.withColumn("_b", bucket(blocks)).withColumn("_c", every(chunks))
+    all_ = queries.withColumn("_c", bucket(chunks)).withColumn("_b", every(blocks))
+    found = all_.groupBy("_b", "_c").cogroup(own.groupBy("_b", "_c")).applyInArrow(search, "query_id long, index_id long, cosine double")
     return found.withColumn("_r", rank_of("cosine", "query_id", ties=("index_id",))).where(F.col("_r") <= k).drop("_r")
 
 

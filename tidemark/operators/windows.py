@@ -82,3 +82,44 @@ def competition(pairs: DataFrame, p: str = "p", anchor: str = "s1_id", record: s
         "s_share": F.col(p) / F.greatest("s_sum", F.lit(1e-6)), "c_share": F.col(p) / F.greatest("c_sum", F.lit(1e-6)),
         "c_gap": F.col(p) - F.col("c_best_other"),
     })
+
+
+#: Columns of `relational`, in the order of the stacked model.
+RELATIONAL = (
+    "r_best", "r_sum", "r_n05", "s_rank", "s_best", "s_sum", "s_n05", "r_other_best", "s_gap", "p_share_s", "p_share_r", "r_margin", "twin_p_num", "twin_p_name",
+)
+
+
+def relational(pairs: DataFrame, p: str = "p", prefix: str = "", numbers: str = "nums", name: str = "name_core", anchor: str = "s1_id", record: str = "cand_id") -> DataFrame:
+    """Add the competition columns of one probability column; call it once for each model that is stacked, each with a prefix.
+
+    Twins are candidates of the same anchor from the other source with the same numbers or the same core name; -1 without one, or without numbers or name.
+    """
+    q = F.col(p)
+    twin = lambda key: F.when(F.coalesce(F.col(key), F.lit("")) != "", F.coalesce(other_source_max(p, anchor, key), F.lit(-1.0))).otherwise(-1.0)
+    many = lambda *keys: F.count_if(q > 0.5).over(over(*keys))
+    found = {
+        "r_best": best(p, record), "r_sum": F.sum(p).over(over(record)), "r_n05": many(record), "s_rank": rank_of(p, anchor, ties=(record,)), "s_best": best(p, anchor),
+        "s_sum": F.sum(p).over(over(anchor)), "s_n05": many(anchor), "r_other_best": best_other(p, record), "s_gap": best(p, anchor) - q,
+        "p_share_s": share(p, anchor), "p_share_r": share(p, record), "r_margin": q - best_other(p, record), "twin_p_num": twin(numbers), "twin_p_name": twin(name),
+    }
+    return pairs.withColumns({prefix + c: v for c, v in found.items()})
+
+
+#: Columns of `context`, in the order of the second model of the other pipeline.
+CONTEXT = ("p1", "r_max_other", "r_sum_other", "r_high_other", "r_rank", "r_margin", "s_max_other", "s_sum_other", "s_high_other", "s_rank", "twin_num", "twin_name", "copy_max", "r_n_possible")
+
+
+def context(pairs: DataFrame, p: str = "p", numbers: str = "nums", name: str = "name", same: str = "full", anchor: str = "s1_id", record: str = "cand_id") -> DataFrame:
+    """Add what a probability's competitors have, itself left out; ranks are from 0, twins and copies null where there are none."""
+    q = F.col(p)
+    high = lambda key: F.count_if(q > 0.5).over(over(key)) - (q > 0.5).cast("int")
+    copies = over(anchor, same)
+    found = {"p1": q}
+    for side, key, tie in (("r", record, anchor), ("s", anchor, record)):
+        found |= {f"{side}_max_other": best_other(p, key), f"{side}_sum_other": F.sum(p).over(over(key)) - q, f"{side}_high_other": high(key), f"{side}_rank": rank_of(p, key, ties=(tie,)) - 1}
+    found |= {
+        "r_margin": q - best_other(p, record), "twin_num": F.when(F.col(numbers) != "", other_source_max(p, anchor, numbers)), "twin_name": other_source_max(p, anchor, name),
+        "copy_max": F.when(F.count("*").over(copies) > 1, best_other(p, anchor, same)), "r_n_possible": F.count_if(q > 0.1).over(over(record)),
+    }
+    return pairs.withColumns({c: found[c] for c in CONTEXT})

@@ -53,18 +53,7 @@ kept AS (SELECT s1_id, cand_id, score, CASE WHEN rank_q <= 10 THEN rank_q ELSE 9
 SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) <= 50""")
 def word_retriever(spark: SparkSession, root: str) -> DataFrame:
     sides = R.tfidf({"s": _named(spark, root, "p_partkey % 4 = 0"), "c": _named(spark, root, "p_partkey % 4 <> 0")}, 200)
-    met = R.similar(sides["c"], sides["s"]).select(F.col("query_id").alias("cand_id"), F.col("index_id").alias("s1_id"), F.round("score", 9).alias("score"))
-    return _both_ways(met, 10, 15)
-
-
-def _both_ways(met: DataFrame, topq: int, tops: int) -> DataFrame:
-    """The ranks and caps of `retrieve`, on scores that were rounded so that ties are ties in any order of summation."""
-    from tidemark.operators.windows import rank_of
-
-    ranked = met.withColumns({"rank_q": rank_of("score", "cand_id", ties=("s1_id",)), "rank_s": rank_of("score", "s1_id", ties=("cand_id",))})
-    in_q, in_s = F.col("rank_q") <= topq, F.col("rank_s") <= tops
-    kept = ranked.where(in_q | in_s).withColumns({"rank_q": F.when(in_q, F.col("rank_q")).otherwise(99), "rank_s": F.when(in_s, F.col("rank_s")).otherwise(99)})
-    return kept.withColumn("_c", rank_of("score", "s1_id", ties=("cand_id",))).where("_c <= 50").select("s1_id", "cand_id", "score", "rank_q", "rank_s")
+    return R.retrieve(sides["c"], sides["s"], 10, 15)
 
 
 @query(f"""WITH {_DOCS}, {_tfidf_sql(1000000, True)}, {_MET.format(0.0)} SELECT s1_id, cand_id, score, rank_q FROM ranked WHERE rank_q <= 5""")
@@ -121,15 +110,31 @@ def vector_norms(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_containment(spark: SparkSession, root: str) -> DataFrame:
-    """Items whose whole text is inside a document: an inverted index on the item's first five words, then the exact test."""
+    """Items whose whole text is inside a document: an inverted index on a run of the item's words, then the exact test.
+
+    The first and the last word can be parts of longer words in a document, so the run is of the words between, five at most. Items without such words
+    are a stated set of queries against all documents.
+    """
     words = lambda c: F.array_remove(F.split(F.regexp_replace(c, r"[\n\t\r]+", " "), " "), "")
-    gram = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))
-    b = table(spark, root, "benchmark").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    # the first and last word can be parts of longer words in a document
-    b = b.where("size(w) >= 7").select("item_id", "item", F.xxhash64(F.slice("w", 2, 5)).alias("h"))
-    d = table(spark, root, "documents").select("doc_id", "text", X.let(words(F.col("text")), gram).alias("grams"))
-    hits = d.select("doc_id", F.explode(F.array_distinct("grams")).alias("h")).join(F.broadcast(b.select("item_id", "h")), "h").select("doc_id", "item_id")
-    return hits.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
+    b = table(spark, root, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    b = b.select("item_id", "item", F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(5)).alias("n"), "w")
+    b = b.select("item_id", "item", "n", F.when(F.col("n") > 0, F.xxhash64(F.slice("w", 2, F.col("n")))).alias("h"))
+    d = table(spark, root, "documents").select("doc_id", "text")
+
+    def grams_of(n: int):
+        return lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    out = None
+    for n in sorted(r[0] for r in b.select("n").distinct().collect()):  # six numbers at most
+        items = b.where(F.col("n") == n)
+        if n:
+            grams = d.select("doc_id", F.explode(F.array_distinct(X.let(words(F.col("text")), grams_of(n)))).alias("h"))
+            hits = grams.join(items.select("item_id", "item", "h"), "h").select("doc_id", "item_id", "item")
+            found = hits.join(d, "doc_id").where(F.col("text").contains(F.col("item")))
+        else:
+            found = d.join(items.select("item_id", "item"), F.col("text").contains(F.col("item")))
+        out = found.select("item_id", "doc_id") if out is None else out.unionByName(found.select("item_id", "doc_id"))
+    return out.distinct() if out is not None else b.select("item_id", F.lit(None).cast("long").alias("doc_id"))
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT s1_id, cand_id FROM pairs WHERE p > 0.3), t AS (SELECT s1_id, cand_id, src FROM pairs WHERE label)
