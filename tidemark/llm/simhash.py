@@ -10,7 +10,7 @@ with a member of that shard are compared in full, so that no link is lost whatev
 * Work on one field bounds the ball to a radius of 1 for the default (4 bits, 3 fields), where few balls cross a
   boundary; on all 64 bits most would.
 * Equal fingerprints are one node, so a group of equal texts of any size costs one row here.
-* A shard with many members is split by salt; the other rows of the shard go to each salt.
+* A shard with many members is split by salt, and every pair of salts is a task of its own.
 * A shard returns a star per connected group, never its pairs.
 
 Cases: null or empty text, and text without a word, has fingerprint 0 and links like any other. A null doc_id is
@@ -210,15 +210,13 @@ def deal(distinct: DataFrame, words: list[str], cuts: list[Field], radius: int,
                     need = home | (own[idx] < at)
                     idx, home = idx[need], home[need]
                     s = salts.get((t, at), 1)
-                    mine = (fps[0][idx] % np.uint64(s)).astype(np.int64)
-                    for j in range(s):
-                        # within a split shard a pair of two salts is compared in the higher one
-                        take = ~home | (mine <= j)
-                        rows = idx[take]
-                        n = len(rows)
-                        if n:
-                            keys = [pa.array(np.full(n, v, np.int32)) for v in (t, at, j)]
-                            yield pa.RecordBatch.from_arrays([*keys, pa.array((home & (mine == j))[take]), *[pa.array(w[rows].view(np.int64)) for w in fps]], ["tree", "leaf", "salt", "home", *words])
+                    mine = (fps[0][idx] % np.uint64(s)).astype(np.int32)
+                    n = len(idx)
+                    for j in range(s if n else 0):
+                        # a split shard is compared by pairs of salts: a task holds the rows of two, whatever the shard's size
+                        both = np.minimum(mine, j) * np.int32(s) + np.maximum(mine, j)
+                        keys = [pa.array(np.full(n, v, np.int32)) for v in (t, at)]
+                        yield pa.RecordBatch.from_arrays([*keys, pa.array(both), pa.array(home), *[pa.array(w[idx].view(np.int64)) for w in fps]], ["tree", "leaf", "salt", "home", *words])
 
     return distinct.select(*words).mapInArrow(send, "tree int, leaf int, salt int, home boolean, " + ", ".join(f"{w} long" for w in words))
 
