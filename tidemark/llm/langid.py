@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language over the characters of a word and the spaces around it, with n-grams up to ``ORDER``. Models
-are trained on a bounded sample of labelled rows (``PER_LANG`` documents for each language, by a hash of the id). The
+are trained on a bounded sample of labelled rows (``PER_LANG`` documents and ``LANG_CHARS`` characters for each language, by a hash of id and text). The
 n-grams of all languages lie in one sorted array of hashes per order, with a probability and a back-off weight per
 language beside each. A text's score under a language is the sum over its words, so a word's
 scores are found once per worker and looked up afterwards; every word of the text counts.
@@ -29,6 +29,8 @@ ORDER = 5
 #: Most labelled documents for each language, and most languages, in the training sample.
 PER_LANG = 400
 MAX_LANGS = 256
+#: Most characters of a sampled document, and of all those of a language.
+TEXT_CHARS, LANG_CHARS = 200_000, 4_000_000
 #: Every so-manieth sampled document calibrates and isn't counted.
 CALIBRATE = 5
 #: Letters an unknown character is one of.
@@ -180,17 +182,25 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, list[str]]:
-    """{lang: texts}: the bounded training sample, on the driver."""
-    ids = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = ids.where(F.col("lang").isin(langs)).withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id").distinct()
-    rows = docs.where(~held_out()).select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id", "left_semi")  # at most per_lang * MAX_LANGS ids
+def sample(docs: DataFrame, per_lang: int = PER_LANG, chars: int = LANG_CHARS) -> dict[str, list[str]]:
+    """{lang: texts}: the bounded training sample, on the driver.
+
+    Rows are thinned out by a hash of id and text to a few times ``per_lang`` for each language before anything is ranked; rows that repeat both count once.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.length("text").between(1, TEXT_CHARS))
+    n = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    if not n:
+        return {}
+    rate = F.create_map(*[F.lit(x) for r in n for x in (r[0], min(1.0, 4 * per_lang / r[1]))])
+    h = F.xxhash64("doc_id", "text")
+    u = F.shiftrightunsigned(h, 11) / float(1 << 53)
+    few = rows.select("doc_id", "lang", "text", h.alias("_h")).where(u < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).dropDuplicates(["lang", "doc_id", "_h"])
+    w = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    upto = F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    picked = few.withColumns({"_r": F.row_number().over(w), "_c": upto}).where((F.col("_r") <= per_lang) & ((F.col("_c") <= chars) | (F.col("_r") == 1)))
     out: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (str(r[1]), r[0], r[2] or "")):
-        if r["lang"] in langs and r["text"]:
-            out.setdefault(r["lang"], []).append(r["text"])
+    for r in sorted(picked.select("lang", "doc_id", "text").collect(), key=lambda r: (r[0], r[1], r[2])):  # per_lang texts and chars characters for each language at most
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
