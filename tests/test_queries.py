@@ -7,7 +7,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import phonetic as P
+from tidemark.functions import text as X
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
@@ -66,3 +69,30 @@ def test_pairs_of_all_ids(spark, tmp_path):
     assert best["amber rose"] == "amber rise" and best["azure rose"] in names[:2]
     got = {(r.s1_id, r.cand_id) for r in QUERIES["address_comparison"](spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a in (2, 2002) for b in (1, 2001, 70_001)}
+
+
+def test_queries_without_sql(spark, root):
+    """What the queries that SQL can't express have to hold, by definitions written out here."""
+    run = lambda name: QUERIES[name](spark, root)
+    same = {(r.a, r.b): r.same for r in run("words_that_sound_alike").collect()}
+    words = sorted({a for a, _ in same})
+    keys = dict(spark.createDataFrame([(w,) for w in words], "w string").select("w", X.sound_key(F.col("w"))).collect())
+    assert set(same) == {(a, b) for a in words for b in words if a[0] == b[0]}
+    assert all(v == (keys[a] == keys[b] or min(len(a), len(b)) >= 3 and P.metaphone(a) == P.metaphone(b)) for (a, b), v in same.items())
+
+    dropped = run("evidence_dropout").collect()
+    again = {(r.s1_id, r.cand_id): r.evidence for r in run("evidence_dropout").collect()}
+    assert again == {(r.s1_id, r.cand_id): r.evidence for r in dropped} and 0.25 < sum(r.evidence is None for r in dropped) / len(dropped) < 0.42
+
+    rows = run("pseudo_labelled_rows").collect()
+    pos = sum(r.label for r in rows)
+    assert pos and {r.weight for r in rows} == {0.5} and len(rows) - pos <= 3.6 * pos
+
+    easy = run("easy_rows_thinned").groupBy("weight").count().collect()
+    assert {r.weight for r in easy} <= {1.0, 10.0}
+
+    flags = run("decoy_flags").collect()
+    assert not any(r.swapped and r.decoy for r in flags)
+    lists = run("capped_typed_retriever").groupBy("cand_id").count().collect()
+    assert lists and max(r["count"] for r in lists) <= 5
+    assert {r.feature for r in run("model_importance").collect()} == {"price", "first_p", "s3"}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import decide, learn, metrics, setdecode
+from tidemark.operators.windows import over
 from tidemark.plans.core import ANCHORS, PAIRS, anchors, pairs, query
 
 _CAP = "least(p, 0.999::DOUBLE)"
@@ -75,14 +76,15 @@ def f_per_anchor(spark: SparkSession, root: str) -> DataFrame:
     return f.withColumn("f", F.round("f", 9))
 
 
-@query(f"""WITH {PAIRS} SELECT kind, count(*) AS n, count(DISTINCT s1_id) AS n_anchors FROM (SELECT s1_id, CASE WHEN label AND score < 2000 THEN 'missed_by_blocking' WHEN label AND p <= 0.6 THEN 'rejected' WHEN label THEN 'right' WHEN p > 0.6 THEN 'wrong' ELSE 'left_out' END AS kind FROM pairs) GROUP BY 1""")
+@query(f"""WITH {PAIRS} SELECT kind, count(*) AS n, count(DISTINCT s1_id) AS n_anchors FROM (SELECT s1_id, CASE WHEN label AND score < 2000 THEN 'missed_by_blocking' WHEN label AND p <= 0.6 THEN 'rejected' WHEN label THEN 'right' WHEN p > 0.6 AND NOT bool_or(label) OVER (PARTITION BY s1_id) THEN 'singleton_violated' WHEN p > 0.6 THEN 'wrong' ELSE 'left_out' END AS kind FROM pairs) GROUP BY 1""")
 def error_taxonomy(spark: SparkSession, root: str) -> DataFrame:
     """Where true pairs are lost and wrong ones come from."""
     kind = (
         F.when(F.col("label") & (F.col("score") < 2000), "missed_by_blocking").when(F.col("label") & (F.col("p") <= 0.6), "rejected").when(F.col("label"), "right")
-        .when(F.col("p") > 0.6, "wrong").otherwise("left_out")
+        .when((F.col("p") > 0.6) & ~F.col("matched"), "singleton_violated").when(F.col("p") > 0.6, "wrong").otherwise("left_out")
     )
-    return pairs(spark, root).withColumn("kind", kind).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("s1_id").alias("n_anchors"))
+    rows = pairs(spark, root).withColumn("matched", F.max("label").over(over("s1_id")))
+    return rows.withColumn("kind", kind).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("s1_id").alias("n_anchors"))
 
 
 @query(f"""WITH {PAIRS}, {ANCHORS}, n AS (SELECT s1_id, count_if(label) AS tr, count_if(p > 0.6) AS pr, count_if(label AND p > 0.6) AS tp, sum(p) AS sp FROM pairs GROUP BY 1),
