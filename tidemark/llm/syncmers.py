@@ -7,7 +7,8 @@ fingerprints is the number of shared hashes over the longer one's length: about
 
 Cases: null text is empty; a text without words has the empty fingerprint, and no other; one with fewer than ``k`` words, or with so few more
 that no run of them is a syncmer, has the hash of all its words as its one hash. Two empty fingerprints are alike (1), an empty and another are not (0). Equal texts have equal
-fingerprints. Rows that repeat a doc_id are ordered by text. Texts of any length are read whole.
+fingerprints. Rows that repeat a doc_id are ordered by text; these, and those without an id, are in one range. Texts of any length are read whole. No rows
+give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ K = 7
 SIZE = 64
 #: Bytes of text in a range of neighbouring documents.
 RANGE_BYTES = 8 << 20
-#: Most ranges whose bounds the driver keeps.
-MAX_RANGES = 20_000
+#: Most ranges whose bounds the driver keeps, and bounds that a row is held against at a time.
+MAX_RANGES, STEP = 100_000, 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,6 +114,13 @@ def positional_matches(a: DataFrame, b: DataFrame, k: int = K) -> DataFrame:
     return left.join(right, ["other_id", "hash"]).select("doc_id", "other_id", "position", "other_position")
 
 
+def _at_most(cuts: list, x: Column) -> Column:
+    """How many of the ascending cuts are at most x, by every STEP-th of them first."""
+    below = lambda a: F.size(F.filter(a, lambda c: c <= x))
+    coarse = below(F.lit(cuts[::STEP]))
+    return let(F.greatest(coarse - 1, F.lit(0)) * STEP, lambda at: at + below(F.slice(F.lit(cuts), at + 1, F.lit(STEP))))
+
+
 def next_descending(df: DataFrame, columns: list[str], ranges: int, derive: dict[str, Column]) -> DataFrame:
     """Add the columns of ``derive`` and ``next_<column>`` of the row that follows in descending doc_id; the first row follows the last.
 
@@ -123,7 +131,7 @@ def next_descending(df: DataFrame, columns: list[str], ranges: int, derive: dict
     # at most MAX_RANGES numbers reach the driver
     steps = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(df.select(F.percentile_approx("doc_id", steps, 100_000)).first()[0] or [])) if steps else []
-    known = F.size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    known = len(cuts) - _at_most(cuts, F.col("doc_id")) if cuts else F.lit(0)
     dealt = df.withColumn("_g", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(known).cast("int"))
     first = {r[0]: r[1] for r in dealt.groupBy("_g").agg(F.max("doc_id")).collect()}  # one row for each range
     used = sorted(first)
@@ -131,7 +139,7 @@ def next_descending(df: DataFrame, columns: list[str], ranges: int, derive: dict
     heads = df.sparkSession.createDataFrame(before, f"_to int, _first {dict(df.dtypes)['doc_id']}, _g int")
     on = F.col("doc_id").eqNullSafe(F.col("_first"))
     copies = dealt.join(F.broadcast(heads.drop("_g")), on).select(*df.columns, F.col("_to").alias("_g"), F.lit(1).alias("_copy"))
-    rows = dealt.withColumn("_copy", F.lit(0)).unionByName(copies).repartition("_g").withColumns(derive)
+    rows = dealt.withColumn("_copy", F.lit(0)).unionByName(copies).repartitionById(len(cuts) + 2, "_g").withColumns(derive)
     w = Window.partitionBy("_g").orderBy("_copy", F.desc_nulls_last("doc_id"), *columns)
     out = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in [*columns, *derive]})
     return out.where("_copy = 0").drop("_g", "_copy")
