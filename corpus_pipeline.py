@@ -19,29 +19,47 @@ def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language one of the models accepts."""
+    """Documents whose language one of the models accepts.
+
+    Null texts and texts without a letter go. Rows that repeat an id or a text are judged each. Without any labelled row there is no
+    model that could reject: all stay. No rows give no rows.
+    """
     model = langid.fit(langid.sample(docs))
+    if model is None:
+        return docs
     hidden, restore = shield(docs)
     return restore(langid.identify(hidden, model, keep=tuple(hidden.columns)).where("accepted"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated line runs."""
+    """All documents, without later copies of repeated line runs.
+
+    Null texts stay null, null ids come first. Equal rows are one document and get equal results; rows that repeat an id with other texts are ordered by text hash. No rows give no rows.
+    """
     return _as_documents(linededup.dedup(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard index 0.8) the first document."""
+    """Of each group of near copies (five-word shingles, Jaccard index 0.8) the first document.
+
+    Null texts and texts without a word are one group. Null ids come first; equal rows are one document and stay or go together. No rows give no rows.
+    """
     return simhash.keep_first(docs, k=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of 20-word windows that also start earlier."""
+    """All documents, without the words of 20-word windows that also start earlier.
+
+    Null texts stay null, null ids come first. Equal rows are one document and get equal results. No rows give no rows.
+    """
     return _as_documents(substring.dedup(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 2048 tokens."""
+    """Where each piece of each document goes in sequences of 2048 tokens.
+
+    Null and empty texts are one closing token. Rows that repeat an id or a text are documents of their own. No rows give no sequences.
+    """
     return packing.pack(docs)
 
 
