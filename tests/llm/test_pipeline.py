@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 from conftest import EDGES
+from pyspark.sql import functions as F
 from test_dedup import brute_lines, brute_windows, union
 
 from tidemark.llm import langid, packing, simhash
@@ -52,13 +53,33 @@ def test_stages_on_documents(spark, root):
 
 
 def test_stages_on_edges(spark, root, make):
+    """Nulls, empty and long texts, repeated rows and repeated ids, and an empty table, in every stage."""
     rnd = random.Random(1)
     docs = make([*EDGES, *[(100 + i, " ".join(rnd.choice("alpha beta gamma delta".split()) for _ in range(60))) for i in range(5)]])
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
     for name, f in corpus_pipeline.STAGES:
         out = f(spark, docs, root)
-        assert name == "best_fit_packing" or out.columns == docs.columns
-        assert out.count() >= 0
         assert f(spark, make([]), root).count() == 0
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in out.collect()} == {d for d, _ in rows}
+            continue
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        if name == "language_id":
+            assert not collections.Counter(got) - collections.Counter(rows) and all(langid.has_letter(t or "") for _, t in got)
+        elif name == "near_dedup":
+            kept = collections.Counter(got)
+            assert not kept - collections.Counter(rows)
+            wordless = {r for r in kept if not (r[1] or "").split()}
+            assert len(wordless) == 1 and {t for _, t in kept if (t or "").split()} <= {t for _, t in rows}
+        else:
+            assert sorted(d or -1 for d, _ in got) == sorted(d or -1 for d, _ in rows)
+            assert [t is None for _, t in got] == [t is None for _, t in rows]
+
+
+def test_unlabelled_documents_all_stay(spark, root, make):
+    docs = make([(1, "some words of a text"), (2, None)]).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, docs, root).count() == 2
 
 
 def test_run(spark, root):

@@ -38,9 +38,9 @@ from tidemark.llm.common import KEY_BITS, Scratch, arrow_schema, bound_batches,
 
 WINDOW = 20
 GRAM = 10
-FANOUT = 4
+FANOUT = 2
 #: Batches that `dedup` puts a table into the index by; one more than a level holds, so that runs are compacted.
-BATCHES = 5
+BATCHES = 3
 _TOKENS = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
