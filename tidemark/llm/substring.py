@@ -127,6 +127,8 @@ class Runs:
     def write(self, rows: DataFrame) -> str:
         """Save rows, which an aggregate or a repartition by the key has dealt out; in any other deal a bucket has more files."""
         name = f"tidemark_run_{uuid.uuid4().hex}"
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, *self.key)
         out = rows.write.bucketBy(self.buckets, *self.key).sortBy(*self.key)
         out.option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
         return name
