@@ -4,9 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What the driver keeps of the plan of a scratch table's job, for its history of queries: characters in all, and fields of a node.
+PLAN_TEXT = {"spark.sql.maxPlanStringLength": "4096", "spark.sql.debug.maxToStringFields": "4"}
+
+
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Jobs run within keep little text of their plans on the driver, which remembers a thousand; the session's settings come back afterwards."""
+    old = {k: spark.conf.get(k) for k in PLAN_TEXT}
+    for k, v in PLAN_TEXT.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -36,7 +54,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        with short_plans(self.spark):
+            df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
