@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import KEY_BITS, Scratch, arrow_schema, bound_batches, claim, map_texts, pick, shield, slices, with_key
+from tidemark.sources.shared import short_plans
 
 WINDOW = 20
 GRAM = 10
@@ -130,7 +131,8 @@ class Runs:
         if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
             rows = rows.repartition(self.buckets, *self.key)
         out = rows.write.bucketBy(self.buckets, *self.key).sortBy(*self.key)
-        out.option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        with short_plans(self.spark):
+            out.option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
         return name
 
     def tables(self) -> list[DataFrame]:
