@@ -70,51 +70,52 @@ def _join(rows: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFram
     return rows.join(other.hint("merge"), on, how)
 
 
-def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame]]:
-    """[(n, ranks)] for n = 1, 2, 4, ...: (p, r, w) of the places whose next n lines occur elsewhere too.
+def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Tables (p, r, w, n) for n = 1, 2, 4, ...: the places whose next n lines occur elsewhere too.
 
-    r is the first such place, w the characters of the n lines. The first table also has ``at``. ``docs`` has _k and text.
+    r is the first such place, w the characters of the n lines. The first table also has ``at``. ``docs`` has _k and text. n is a column
+    and no constant, so that all rounds run the same compiled code, which would fill the driver's memory otherwise.
     """
     every = scratch.save(
         lines(docs).select("p", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").cast("long").alias("w")), "lines"
     )
     shared = _shared(every, scratch, "h", "g")
-    now = scratch.save(_join(every, shared, ["h", "g"]).groupBy("p").agg(F.min("first").alias("r"), F.min("at").alias("at"), F.min("w").alias("w")), "ranks")
+    now = _join(every, shared, ["h", "g"]).groupBy("p").agg(F.min("first").alias("r"), F.min("at").alias("at"), F.min("w").alias("w"), F.lit(1).cast("long").alias("n"))
+    now = scratch.save(now, "ranks")
     scratch.drop(every, shared)
-    out, n = [(1, now)], 1
+    out = [now]
     for _ in range(MAX_ROUNDS):
-        ahead = now.select((F.col("p") - n).alias("p"), F.col("r").alias("s"), F.col("w").alias("v"))
-        pairs = scratch.save(_join(now.select("p", "r", "w"), ahead, "p").select("p", "r", "s", (F.col("w") + F.col("v")).alias("w")), "pairs")
-        n *= 2
+        ahead = now.select((F.col("p") - F.col("n")).alias("p"), F.col("r").alias("s"), F.col("w").alias("v"))
+        pairs = scratch.save(_join(now.select("p", "r", "w", "n"), ahead, "p").select("p", "r", "s", (F.col("w") + F.col("v")).alias("w"), (F.col("n") * 2).alias("n")), "pairs")
         shared = _shared(pairs, scratch, "r", "s")
-        now = scratch.save(_join(pairs, shared, ["r", "s"]).select("p", F.col("first").alias("r"), "w"), "ranks")
+        now = scratch.save(_join(pairs, shared, ["r", "s"]).select("p", F.col("first").alias("r"), "w", "n"), "ranks")
         scratch.drop(pairs, shared)
         if now.isEmpty():
             scratch.drop(now)
             break
-        out.append((n, now))
+        out.append(now)
     return out
 
 
-def longest_runs(ranks: list[tuple[int, DataFrame]], scratch: Scratch) -> DataFrame:
+def longest_runs(ranks: list[DataFrame], scratch: Scratch) -> DataFrame:
     """(p, l, c, w) of every place whose line also stands earlier: l is the length of the longest run from there that also starts earlier.
 
     c is where the first such run starts, w are the run's characters. ``ranks`` are `suffix_ranks`.
     """
     state = None
-    for n, now in reversed(ranks):
-        entering = now.where("r < p").select("p", F.lit(n).cast("long").alias("l"), F.col("r").alias("c"), "w")
+    for now in reversed(ranks):
+        entering = now.where("r < p").select("p", F.col("n").alias("l"), F.col("r").alias("c"), "w")
         if state is None:
             state = scratch.save(entering, "runs")
             continue
         # the first suffix of an interval is no member of it as far as its own run goes, but it may be the earlier one
         heads = state.groupBy("l", "c").agg(F.lit(True).alias("head")).select(F.col("c").alias("p"), "l", "c", F.lit(0).cast("long").alias("w"), "head")
         members = state.withColumn("head", F.lit(False)).unionByName(heads).withColumn("q", F.col("p") + F.col("l"))
-        ahead = now.select(F.col("p").alias("q"), F.col("r").alias("x"), F.col("w").alias("v"))
+        ahead = now.select(F.col("p").alias("q"), F.col("r").alias("x"), F.col("w").alias("v"), "n")
         deeper = scratch.save(_join(members, ahead, "q").drop("q"), "deeper")
         shared = _shared(deeper, scratch, "l", "c", "x")
         grown = _join(deeper.where("NOT head"), shared, ["l", "c", "x"]).where("first < p").select(
-            "p", (F.col("l") + n).alias("l"), F.col("first").alias("c"), (F.col("w") + F.col("v")).alias("w")
+            "p", (F.col("l") + F.col("n")).alias("l"), F.col("first").alias("c"), (F.col("w") + F.col("v")).alias("w")
         )
         best = F.max(F.struct("l", "c", "w")).alias("b")
         after = scratch.save(state.unionByName(grown).unionByName(entering).groupBy("p").agg(best).select("p", "b.*"), "runs")
@@ -127,11 +128,11 @@ def deleted_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS)
     """(_k, gone): for each document that loses lines, their numbers among all its lines."""
     ranks = suffix_ranks(docs, scratch)
     found = longest_runs(ranks, scratch)
-    ends = _join(found, ranks[0][1].select("p", "at"), "p").select("p", "at", F.when(F.col("w") >= min_chars, F.col("p") + F.col("l") - 1).alias("e"), F.shiftright("p", LINE_BITS).alias("_k"))
+    ends = _join(found, ranks[0].select("p", "at"), "p").select("p", "at", F.when(F.col("w") >= min_chars, F.col("p") + F.col("l") - 1).alias("e"), F.shiftright("p", LINE_BITS).alias("_k"))
     reach = F.max("e").over(Window.partitionBy("_k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
     gone = ends.withColumn("reach", reach).where("reach >= p").groupBy("_k").agg(F.collect_list("at").alias("gone"))
     out = scratch.save(gone, "gone")
-    scratch.drop(found, *[df for _, df in ranks])
+    scratch.drop(found, *ranks)
     return out
 
 
