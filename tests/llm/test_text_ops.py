@@ -6,9 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from conftest import EDGES
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, chat, langid, license, packing, quality, syncmers
@@ -186,6 +188,29 @@ def test_chat_examples(spark):
     assert chat.read_back(chat.expand(df.where("conv_id = 99"))).count() == 0
 
 
+def test_chat_reads_whole_examples(spark, monkeypatch):
+    """What is read back comes from examples written out with all turns before them; contexts that were lost or mixed up stop the job."""
+    rows = [(c, t, "assistant" if (t + c) % 3 == 0 else "user", f"{c} said {t} \\###" * (t % 4)) for c in range(12) for t in range(c)] + [(None, 0, "assistant", "x"), (None, 1, "assistant", "x"), (-1, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
+    assert len(got) == 13
+    for c, r in got.items():
+        turns = [(role, text or "") for k, _, role, text in rows if k == c]
+        loss = "".join(text for role, text in turns if role == "assistant")
+        assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.render(chat.expand(df)).count() == sum(r[2] == "assistant" for r in rows)
+    whole = {r.conv_id: r.text for r in chat.render(chat.expand(df), rest=True).collect()}
+    assert all(len(whole[c]) >= 1 for c in got) and chat.parse(whole[-1]) == [("user", "")]
+    shuffled = chat.expand(df).repartition(1).orderBy("conv_id", F.desc("position"))
+    with pytest.raises(Exception, match="not where it belongs"):
+        chat.read_back(shuffled).collect()
+    real = chat.render
+    monkeypatch.setattr(chat, "render", lambda e, rest=False: real(e, rest).withColumn("text", F.expr("if(example > 0, concat('### user: other </turn>\n', text), text)")))
+    with pytest.raises(Exception, match="does not begin with the one before"):
+        chat.read_back(chat.expand(df)).collect()
+
+
 # BPE
 
 
