@@ -120,3 +120,17 @@ def test_word_features_are_made_once_for_equal_records(spark, root, tmp_path, mo
     want = direct.select("s1_id", "cand_id", F.round(X.jaccard(key("a"), key("b"), 1.0), 9).alias("key_jaccard"))
     got = QUERIES["key_set_jaccard"](spark, big)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_number_features_are_made_once_for_equal_lists(spark, root, tmp_path):
+    """A size has 291 lists of numbers at most; what two of them say holds for all pairs, of all brands, that have them."""
+    from tidemark.operators import pairs as PF
+    from tidemark.plans import features
+
+    big = _copied_parts(spark, root, tmp_path, 4)
+    classes = features.number_classes(features._parts(spark, big), F.col("id"))
+    assert classes.count() == classes.select("na", "nb").distinct().count()
+    want = features.record_pairs(spark, big).select("s1_id", "cand_id", PF.number_struct(F.col("na"), F.col("nb")).alias("f")).select("s1_id", "cand_id", "f.*")
+    want = want.withColumns({c: F.round(c, 6) for c in ("num_first_logdiff", "numx_gap")})
+    got = QUERIES["number_features"](spark, big)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
