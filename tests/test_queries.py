@@ -134,3 +134,13 @@ def test_number_features_are_made_once_for_equal_lists(spark, root, tmp_path):
     want = want.withColumns({c: F.round(c, 6) for c in ("num_first_logdiff", "numx_gap")})
     got = QUERIES["number_features"](spark, big)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_record_comparison_is_made_once_for_equal_names(spark, root, tmp_path):
+    """Copies of a part are compared as the part is."""
+    cols = [c for c in QUERIES["record_comparison"](spark, root).columns if c not in ("s1_id", "cand_id")]
+    big = _copied_parts(spark, root, tmp_path, 3)
+    small, large = QUERIES["record_comparison"](spark, root), QUERIES["record_comparison"](spark, big)
+    same = large.where("s1_id < 100000 AND cand_id < 100000")
+    assert small.count() == same.count() and same.exceptAll(small).isEmpty() and large.count() == 9 * small.count()
+    assert cols[-4:] == ["relation", "log_gap", "edits", "first_changed"]
