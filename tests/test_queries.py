@@ -154,3 +154,40 @@ def test_record_comparison_is_made_once_for_equal_names(spark, root, tmp_path):
     same = large.where("s1_id < 100000 AND cand_id < 100000")
     assert small.count() == same.count() and same.exceptAll(small).isEmpty() and large.count() == 9 * small.count()
     assert cols[-4:] == ["relation", "log_gap", "edits", "first_changed"]
+
+
+@pytest.mark.parametrize("name", ["binary_tfidf_retriever", "mixed_retriever", "capped_typed_retriever"])
+def test_equal_records_meet_once(spark, root, tmp_path, monkeypatch, name):
+    """The product of postings does not grow with copies; every copy gets its list, and ties go to the least ids."""
+    from tidemark.operators import retrieve
+
+    big = _copied_parts(spark, root, tmp_path, 3)
+    real, sizes = retrieve.similar, []
+    monkeypatch.setattr(retrieve, "similar", lambda q, s, t=0.02: (sizes.append((q.select("id").distinct().count(), s.select("id").distinct().count())), real(q, s, t))[1])
+    QUERIES[name](spark, root)
+    got = QUERIES[name](spark, big)
+    # a part has two classes at most in the mixed one, with an address and without
+    assert sizes[0] == sizes[1] or name == "mixed_retriever" and sum(sizes[1]) < 2 * sum(sizes[0])
+    if name in ORACLES:
+        rows = sorted((r.s1_id, r.cand_id, plain(r.score), r.rank_q) for r in got.collect())
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW part AS SELECT * FROM '{big}/part.parquet/*.parquet'")
+        assert rows == sorted((a, b, plain(x), r) for a, b, x, r in c.execute(f"SELECT s1_id, cand_id, score, rank_q FROM ({ORACLES[name]})").fetchall())
+    else:
+        per = {r["count"] for r in got.groupBy("s1_id").count().collect()}
+        assert max(per) <= 50 and got.where("rank_q > 5").isEmpty()
+
+
+def test_number_words_of_equal_names_meet_once(spark, root, tmp_path, monkeypatch):
+    from tidemark.functions import distance as D
+
+    big = _copied_parts(spark, root, tmp_path, 3)
+    real, sizes = D.on_distinct, []
+    monkeypatch.setattr(D, "on_distinct", lambda df, *a: (sizes.append(df.count()), real(df, *a))[1])
+    QUERIES["number_word_retriever"](spark, root)
+    got = QUERIES["number_word_retriever"](spark, big)
+    assert sizes[0] == sizes[1]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{big}/part.parquet/*.parquet'")
+    want = c.execute(f"SELECT cand_id, s1_id, n_keys, score FROM ({ORACLES['number_word_retriever']})").fetchall()
+    assert sorted((*r[:3], plain(r[3])) for r in got.collect()) == sorted((*r[:3], plain(r[3])) for r in want)
