@@ -275,3 +275,18 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
+
+
+def test_substring_leaves_no_hashes_in_workers(spark):
+    """Workers outlive the operator: the hashes of words are gone before the texts are written out, not when a later operator comes."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "doc_id long, text string").repartition(4)
+    assert substring.dedup(docs).count() == len(corpus())
+    substring.dedup(docs).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, substring._hashes.values()))] * b.num_rows, pa.int64())})
+
+    assert {r.n for r in spark.range(0, 16, 1, 4).mapInArrow(held, "n long").collect()} == {0}

@@ -420,3 +420,20 @@ def test_vectors_equal_one_at_a_time():
     for w in ("hello", "gat", "zzz", "h", "pelo"):
         for lang in range(2):
             assert abs(m.score([w])[0][lang] - (_opening(m, w + " ", lang))) < 1e-3 * max(1, m.score([w])[0][lang]) + 1e-3
+
+
+def test_packing_hands_the_library_few_characters_at_once(monkeypatch):
+    """Texts beyond Latin letters are encoded a few at a time, with the ids that they have together."""
+    texts = ["слово и дело " * 300 + str(i) for i in range(40)]
+    mine = packing.Tokens(PATH)
+    want = mine.library(texts)
+    real, sizes = mine.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, part, **how):
+            sizes.append(sum(map(len, part)))
+            return real.encode_batch_fast(part, **how)
+
+    mine.tokenizer = Counted()
+    monkeypatch.setattr(packing, "LIBRARY_CHARS", 10_000)
+    assert mine.join(texts) == want and len(sizes) > 10 and max(sizes) <= 10_000

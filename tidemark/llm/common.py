@@ -170,7 +170,7 @@ _clear: dict[str, Callable[[], object]] = {}
 def claim(owner: str, clear: Callable[[], object]) -> None:
     """Say that this worker process now works for ``owner``; what other operators have cached in it is let go.
 
-    Workers outlive the stages of a pipeline, so their caches would add up.
+    Workers outlive the stages of a pipeline, so their caches would add up. What Arrow and the C library keep of freed memory goes back, too.
     """
     global _owner
     if _owner == owner:
@@ -181,6 +181,7 @@ def claim(owner: str, clear: Callable[[], object]) -> None:
     _owner = owner
     _clear[owner] = clear
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

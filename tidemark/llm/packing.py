@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, claim, env_single_thread, map_texts
+from tidemark.llm.common import Scratch, claim, env_single_thread, map_texts, slices
 from tidemark.llm.bpe import LATIN_END, byte_symbols, default_vocabulary, vocabulary
 
 CAPACITY = 2048
@@ -36,6 +36,8 @@ KEYS, CACHE_BYTES = 1_000_000, 64 << 20
 ENTRY_BYTES, KEEP_CHARS = 170, 64
 #: Bytes of text that are looked at together.
 CHUNK = 2 << 20
+#: Characters that are handed to the library at once, which takes some hundred bytes for a token until its ids are read.
+LIBRARY_CHARS = 1 << 18
 #: The id that closes a document.
 CLOSE = b"\x00\x00\x00\x00"
 #: A character beyond the Latin letters whose case and normal form are the same everywhere.
@@ -98,7 +100,10 @@ class Tokens:
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as the library finds them."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for a, b in slices(texts, LIBRARY_CHARS):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+        return out
 
     def spell(self, word: str) -> bytes:
         """Ids of a lower-case Latin word."""
@@ -135,7 +140,10 @@ class Tokens:
         if not len(starts):
             return np.empty(0, "<u4"), starts, starts
         size = stops - starts
-        h = np.add.reduceat(self.byte[b] * self.power[np.minimum(place, KEEP_CHARS)], starts)
+        weighed = self.power[np.minimum(place, KEEP_CHARS, out=place)]
+        weighed *= self.byte[b]
+        h = np.add.reduceat(weighed, starts)
+        del here, place, weighed
         for i in np.flatnonzero(size > KEEP_CHARS).tolist():
             h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]])
         each, first, inverse = np.unique(h, return_index=True, return_inverse=True)

@@ -281,6 +281,7 @@ class FingerprintIndex:
                     if not got[0]:
                         continue
                     h1, h2, k, at = map(np.concatenate, got)
+                    got.clear()
                     _, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
                     f = first[inverse]
                     later = (h2 == h2[f]) & ((k != k[f]) | (at != at[f]))
@@ -357,6 +358,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
     others = [c for c in hidden.columns if c != "text"] if not digest else ["doc_id"]
 
     def run(cols: dict) -> dict:
+        claim("kept", int)  # needs no hashes any more
         n, gone, out = [], [], []
         for text, spans, whole in zip(cols["text"], cols["_spans"], cols["_whole"], strict=True):
             words = text.encode().split() if text else []
