@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, linededup, packing, simhash, substring
-from tidemark.llm.common import Scratch, read, shield
+from tidemark.llm.common import Scratch, give_back, read, shield
 
 
 def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,7 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs
     hidden, restore = shield(docs)
-    return restore(langid.identify(hidden, model, keep=tuple(hidden.columns)).where("accepted"))
+    kept = restore(langid.identify(hidden, model, keep=tuple(hidden.columns)).where("accepted"))
+    del model  # the workers have it from a broadcast
+    give_back(spark)
+    return kept
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

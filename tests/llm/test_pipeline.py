@@ -1,7 +1,10 @@
 """Every stage of the pipeline on its own input against brute force, and the whole of it."""
 
 import collections
+import itertools
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
 from conftest import EDGES
@@ -10,6 +13,7 @@ from test_dedup import brute_lines, brute_windows, union
 
 from tidemark.llm import langid, packing, simhash
 from tidemark.llm.common import Scratch
+from tidemark.sources import shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -84,3 +88,24 @@ def test_unlabelled_documents_all_stay(spark, root, make):
 
 def test_run(spark, root):
     assert corpus_pipeline.run(spark, root).count() > 0
+
+
+def test_driver_gives_freed_memory_back(spark, monkeypatch):
+    """What the driver has freed between blocks still in use goes back after some scratch tables, not at the end of the session."""
+
+    def own_mb():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    monkeypatch.setattr(shared, "_saved", itertools.count(1))
+    monkeypatch.setattr(shared, "EVERY", 3)
+    scratch = Scratch(spark, "give")
+    blocks = [b"x" * 60_000 + bytes([i % 256]) for i in range(4000)]
+    pinned = blocks[::40] + blocks[-1:]
+    del blocks
+    full = []
+    for _ in range(3):
+        full.append(own_mb())
+        scratch.save(spark.range(1))
+    assert full[-1] - own_mb() > 100, (full, own_mb())
+    assert len(pinned) == 101
+    scratch.clear()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.shared import Scratch, shared_dir  # noqa: F401  (used by the operators)
+from tidemark.sources.shared import Scratch, give_back, shared_dir, trim  # noqa: F401  (used by the operators)
 
 #: Texts handed to one pass over an Arrow batch stay below about so many characters.
 SLICE_CHARS = 4_000_000
@@ -180,11 +178,7 @@ def claim(owner: str, clear: Callable[[], object]) -> None:
             f()
     _owner = owner
     _clear[owner] = clear
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
 
 
 def env_single_thread() -> None:
