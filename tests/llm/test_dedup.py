@@ -131,6 +131,22 @@ def test_near_copies_of_one_original(spark, make):
         assert {r.doc_id: r.group for r in simhash.near_copies(make(texts), block=block).collect()} == dict(enumerate(root))
 
 
+def test_near_copies_links_go_to_the_smallest(spark, make, monkeypatch):
+    """Every task links the members of a group to the smallest it has met, so that tasks which meet the same members tell the same links."""
+    base = [f"b{i}" for i in range(304)]
+    texts = [" ".join(base[:i] + [f"c{i}"] + base[i + 1 :]) for i in range(300)]
+    told = []
+
+    def spy(edges, scratch, inner=simhash.components):
+        e = scratch.save(edges, "told")
+        told.append((e.count() > 0, e.where("u <= v").count()))
+        return inner(e, scratch)
+
+    monkeypatch.setattr(simhash, "components", spy)
+    assert {r.group for r in simhash.near_copies(make(texts), leaf=16, block=60_000).collect()} == {0}
+    assert told == [(True, 0)] * 2
+
+
 def test_near_copies_do_not_depend_on_repeats(spark, make):
     """Repeats of a passage do not part texts of the same shingles, and one shingle that prevails does not join others."""
     texts = []

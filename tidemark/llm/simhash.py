@@ -303,6 +303,17 @@ def shard_close(words: list[np.ndarray], home: np.ndarray, most: int, most_word:
     return order[linked], order[label[linked]]
 
 
+def stars(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): the groups that the pairs i, j of places in ``at`` link, as stars around the smallest value of each.
+
+    Tasks that meet the same group then tell the same links, which count once.
+    """
+    values, node = np.unique(at, return_inverse=True)
+    root = _roots(len(values), node[i], node[j])
+    linked = np.flatnonzero(root != np.arange(len(values)))
+    return values[linked], values[root[linked]]
+
+
 def linked_sets(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): links that span the groups of sets with a Jaccard index of at least ``least``.
 
@@ -367,8 +378,8 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
     def compare(table: pa.Table) -> pa.Table:
         words = [table.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")]
         i, j = shard_close(words, table.column("home").to_numpy(zero_copy_only=False), LOOSE, LOOSE_WORD)
-        at = cell(*words).view(np.int64)
-        return pa.table({"u": at[i], "v": at[j]})
+        u, v = stars(cell(*words).view(np.int64), i, j)
+        return pa.table({"u": u, "v": v})
 
     dealt = deal(fps, ["fp", "fp2"], fields(blocks, 2), 1, leaf, salt)
     close = components(dealt.groupBy("tree", "leaf", "salt").applyInArrow(compare, "u long, v long"), scratch)
@@ -393,8 +404,8 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, blocks: int = 4
 
     def link(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
-        i, j = linked_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], least)
-        return pa.table({"u": node[i], "v": node[j]})
+        u, v = stars(node, *linked_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], least))
+        return pa.table({"u": u, "v": v})
 
     linked = cut.select("node", "cluster", "low", "high", "grams").groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long")
     roots = components(linked, scratch)
